@@ -8,8 +8,9 @@ probability of a family that counts is calibrated on paragraphs held out of trai
 most one in a thousand of the unknown ones passes. A prediction is confirmed by comparison with
 the family's templates: the part of a template's word pairs that the paragraph has.
 
-Scoring is by joins: features meet the model's table (at most MAX_TERMS rows, so broadcast) and
-sums by paragraph give the class scores. Paragraphs without any feature of the model, and those
+A paragraph that has none of the words without which the model's weights can't lift a family above
+`unknown` needs no scoring. For the others, features meet the model's table (at most MAX_TERMS rows,
+so broadcast) and sums by paragraph give the class scores. Paragraphs without any feature of the model, and those
 below the calibrated probability, are unknown and not returned.
 
 Edge cases: null and empty texts have no paragraphs; repeated rows are scored each; a null doc_id
@@ -87,7 +88,8 @@ def pairs(words: Column) -> Column:
 def features(words: Column) -> Column:
     """Hashes of the distinct words and word pairs."""
     ones = F.transform(words, lambda w: F.xxhash64(w))
-    twos = F.transform(pairs(words), lambda p: F.xxhash64(p["a"], p["b"]))
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    twos = F.zip_with(F.slice(words, 1, last), F.slice(words, 2, last), lambda a, b: F.xxhash64(a, b))
     return F.array_distinct(F.concat(ones, twos))
 
 
@@ -101,6 +103,24 @@ class Model:
     weights: dict[str, tuple[float, ...]]  # of each term, a weight a family
     bias: tuple[float, ...]
     least: float  # probability from which a family counts
+    screen: tuple[str, ...] = ()  # a paragraph of a family has one of these words
+
+
+def screen_words(weights: dict[str, tuple[float, ...]], bias: tuple[float, ...], common: dict[str, int]) -> tuple[str, ...]:
+    """Words of which a paragraph needs one to beat the unknown class, by the model's own weights.
+
+    Terms that speak for a family are left out, the commonest in the sample first, as long as all of
+    those left out can't together lift any family above unknown. What remains is needed.
+    """
+    gain = {t: max(x - w[-1] for x in w[:-1]) for t, w in weights.items()}
+    speak = sorted((t for t in gain if gain[t] > 0), key=lambda t: -min(common.get(x, 0) for x in t.split(" ")))
+    lift, need = max(b - bias[-1] for b in bias[:-1]), set()
+    for t in speak:
+        if lift + gain[t] < 0:
+            lift += gain[t]
+        else:
+            need.add(min(t.split(" "), key=lambda x: common.get(x, 0)))
+    return tuple(sorted(need))
 
 
 def _examples(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -132,11 +152,14 @@ def train(spark: SparkSession, docs: DataFrame) -> Model:
     coefficients = fit.coefficientMatrix.toArray().T.tolist()
     weights = {t: tuple(c) for t, c in zip(counts.vocabulary, coefficients, strict=True) if any(abs(x) > 1e-6 for x in c)}
     families = (*TEMPLATES, UNKNOWN)
-    model = Model(families, weights, tuple(fit.interceptVector.toArray().tolist()), 0.0)
+    bias = tuple(fit.interceptVector.toArray().tolist())
+    spoken = data.filter(F.col("label") == len(TEMPLATES)).select(F.explode(F.array_distinct(tokens(F.col("paragraph")))).alias("w"))
+    screen = screen_words(weights, bias, dict(spoken.groupBy("w").count().filter(F.col("w").isin(sorted({x for t in weights for x in t.split(" ")}))).collect()))
+    model = Model(families, weights, bias, 0.0, screen)
     # held-out unknown paragraphs set the least probability, on top of one half
     held = at.filter("part = 1").select(F.monotonically_increasing_id().alias("doc_id"), F.col("paragraph").alias("text"))
     p = classify(spark, held, model).agg(F.percentile("probability", F.lit(0.999))).first()[0]
-    return Model(families, weights, model.bias, max(0.5, min(0.95, p or 0.0)))
+    return Model(families, weights, bias, max(0.5, min(0.95, p or 0.0)), screen)
 
 
 def _table(spark: SparkSession, model: Model) -> DataFrame:
@@ -163,7 +186,8 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     marks = [F.array_contains("of", F.struct(F.lit(k).alias("k"), F.lit(j).alias("j"))).cast("int").alias(f"t{k}_{j}") for k, ns in enumerate(TEMPLATES.values()) for j in range(len(ns))]
     flat = table.select("h", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in range(n)], *marks)
     lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line"))
-    found = lines.select("row", "doc_id", "paragraph", F.explode(features(tokens(F.col("line")))).alias("h")).join(F.broadcast(flat), "h")
+    lines = lines.withColumn("words", tokens(F.col("line"))).filter(F.arrays_overlap("words", F.lit(list(model.screen))))
+    found = lines.select("row", "doc_id", "paragraph", F.explode(features(F.col("words"))).alias("h")).join(F.broadcast(flat), "h")
     sums = found.groupBy("row", "doc_id", "paragraph").agg(*[F.sum(c).alias(c) for c in flat.columns[1:]])
     logits = F.array(*[F.col(f"w{k}") + F.lit(model.bias[k]) for k in range(n)])
     sizes = {(k, j): _pairs_in(notice) for k, ns in enumerate(TEMPLATES.values()) for j, notice in enumerate(ns)}

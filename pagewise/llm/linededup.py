@@ -13,9 +13,9 @@ alone, as they recur by chance.
 Everything is by keys: templates are counted with partial sums, and each document gets the keys
 of its own lines that it has to drop, so no group is ever gathered.
 
-Edge cases: null and empty texts have no lines to drop and stay; a null doc_id counts as the
-last; rows equal in doc_id and text are one document and are cut alike; a repeated line within one
-document isn't across documents and stays; documents of which nothing is left are kept as empty
+Edge cases: null and empty texts have no lines to drop and stay; rows of one doc_id are one
+document, those without one another, which comes last; a repeated line within one document isn't
+across documents and stays; documents of which nothing is left are kept as empty
 texts here (`deduplicated` drops them if asked); extra columns stay; an empty table gives an
 empty result.
 """
@@ -25,20 +25,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import stored
 
 MIN_TOKENS, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
+#: What stands for a null doc_id, so that it comes last.
+LAST = 2**63 - 1
 #: A token with a digit in it.
 VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def generalised(text: Column) -> Column:
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
+    """Variable fields masked; other white space reads as blanks, each of which ends a token."""
+    plain = F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, "<*>")).otherwise(plain)
 
 
 def templates(line: Column) -> Column:
     """Keys of a generalised line's templates; the first is that of the whole line. Empty if it is short."""
-    return F.element_at(F.transform(F.array(words(line)), _of_tokens), 1)
+    return F.element_at(F.transform(F.array(F.split(line, " ")), _of_tokens), 1)
 
 
 def _of_tokens(tokens: Column) -> Column:
@@ -61,30 +65,31 @@ def lines_of(text: Column) -> Column:
 
 
 def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
-    """(doc_id, text_hash, keys): the templates whose lines a document has to drop."""
+    """(id, keys): the templates whose lines a document has to drop."""
     keys = F.array_distinct(F.flatten(F.transform(lines_of(generalised(F.col("text"))), templates)))
-    per_doc = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
-    per_doc = stored(spark, per_doc.filter(F.size("keys") > 0), "templates")
-    who = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    rows = per_doc.select("doc_id", "text_hash", F.explode("keys").alias("key"))
-    # a document counts once, though its row may be there twice: the count is of documents only if
-    # first and last differ
-    found = rows.groupBy("key").agg(F.min(who).alias("first"), F.max(who).alias("final"), F.count("*").alias("n"))
-    found = found.filter((F.col("first") != F.col("final")) & (F.col("n") >= min_docs)).select("key", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
-    gone = rows.join(found, "key").filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("key").alias("keys"))
+    per_doc = docs.filter("text is not null").select(_id().alias("id"), keys.alias("keys"))
+    rows = stored(spark, per_doc.filter(F.size("keys") > 0), "templates").select("id", F.explode("keys").alias("key"))
+    # a template recurs across documents if the first and the last that have it differ
+    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
+    found = found.filter((F.col("first") < F.col("last")) & (F.col("n") >= min_docs)).select("key", "first")
+    return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("key").alias("keys"))
+
+
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2) -> DataFrame:
     """docs with text cut, and n_lines and n_dropped as long (0 for a null text)."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = drops(spark, docs, min_docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keys").alias("_keys"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    gone = drops(spark, docs, min_docs).select(F.col("id").alias("_id"), F.col("keys").alias("_keys"))
+    out = docs.join(gone, _id() == F.col("_id"), "left")
     lines = lines_of(F.col("text"))
     plain = F.filter(lines, lambda x: ~F.arrays_overlap(templates(generalised(x)), F.col("_keys")))
-    cut = F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join(plain, "\n"))
+    out = out.withColumn("_plain", F.when(F.col("_keys").isNotNull(), plain))
+    cut = F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join("_plain", "\n"))
     before = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = out.withColumns({"_cut": cut, "n_lines": before, "_left": F.when(F.col("_keys").isNull(), before).otherwise(F.size(plain)).cast("long")})
+    out = out.withColumns({"_cut": cut, "n_lines": before, "_left": F.when(F.col("_keys").isNull(), before).otherwise(F.size("_plain")).cast("long")})
     cols = [F.col("_cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols, "n_lines", (F.col("n_lines") - F.col("_left")).alias("n_dropped"))
 
