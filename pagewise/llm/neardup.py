@@ -5,8 +5,8 @@ TREES independent trees branches them: a node of the tree (a path) chooses BRANC
 hash of its own path, and sends each class to the child named by the class's minwise token there.
 Small nodes are compared exhaustively; larger ones branch again, to DEPTH levels. Two sets of
 similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its
-children and 0 at a leaf: for s = 0.85 at most 0.031 a tree, so four trees lose one link in a
-million; for s = 0.8 at most 0.063 a tree, one in 65,000.
+children and 0 at a leaf: for s = 0.85 at most 0.029 a tree, so four trees lose one link in a
+million; for s = 0.8 at most 0.054 a tree, one in 100,000.
 
 A node is compared on full shingle sets by one task. What is asked for is connection, so a pair
 already connected within the node is skipped and a node yields spanning links only, never all
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U, WordHashes, byte_texts, shingle_set, stored
 
-TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 4, 2, 4
+TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 2, 2, 4
 POSITIONS = TREES * DEPTH * PER_LEVEL
 LEAF, BLOCK, PIVOTS = 24, 384, 4
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
