@@ -10,7 +10,7 @@ A template that recurs across documents is boilerplate: its lines stay in the fi
 has it (least doc_id) and are dropped from the others. Lines of under MIN_TOKENS tokens are left
 alone, as they recur by chance.
 
-Everything is by keys: templates are counted with partial sums, and each document gets the keys
+Everything is by keys: templates are counted with partial sums, and each document gets the places
 of its own lines that it has to drop, so no group is ever gathered.
 
 Edge cases: null and empty texts have no lines to drop and stay; rows of one doc_id are one
@@ -65,14 +65,16 @@ def lines_of(text: Column) -> Column:
 
 
 def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
-    """(id, keys): the templates whose lines a document has to drop."""
-    keys = F.array_distinct(F.flatten(F.transform(lines_of(generalised(F.col("text"))), templates)))
-    per_doc = docs.filter("text is not null").select(_id().alias("id"), keys.alias("keys"))
-    rows = stored(spark, per_doc.filter(F.size("keys") > 0), "templates").select("id", F.explode("keys").alias("key"))
+    """(id, text_hash, gone): the places of the lines that a document has to drop."""
+    keys = F.transform(lines_of(generalised(F.col("text"))), templates)
+    per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
+    lines = stored(spark, per_doc, "templates").select("id", "text_hash", F.posexplode("keys").alias("place", "line_keys"))
+    rows = lines.select("id", "text_hash", "place", F.explode("line_keys").alias("key"))
     # a template recurs across documents if the first and the last that have it differ
-    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"))
-    found = found.filter((F.col("first") < F.col("last")) & (F.col("n") >= min_docs)).select("key", "first")
-    return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id").agg(F.collect_set("key").alias("keys"))
+    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
+    found = found.filter(F.col("first") < F.col("last"))
+    found = (found.filter(F.col("n") >= min_docs) if min_docs > 2 else found).select("key", "first")
+    return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
 
 
 def _id() -> Column:
@@ -82,14 +84,14 @@ def _id() -> Column:
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2) -> DataFrame:
     """docs with text cut, and n_lines and n_dropped as long (0 for a null text)."""
     docs = docs.drop("n_lines", "n_dropped")
-    gone = drops(spark, docs, min_docs).select(F.col("id").alias("_id"), F.col("keys").alias("_keys"))
-    out = docs.join(gone, _id() == F.col("_id"), "left")
+    gone = drops(spark, docs, min_docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    out = docs.join(gone, (_id() == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = lines_of(F.col("text"))
-    plain = F.filter(lines, lambda x: ~F.arrays_overlap(templates(generalised(x)), F.col("_keys")))
-    out = out.withColumn("_plain", F.when(F.col("_keys").isNotNull(), plain))
-    cut = F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join("_plain", "\n"))
+    plain = F.filter(lines, lambda x, place: ~F.array_contains(F.col("_gone"), place))
+    out = out.withColumn("_plain", F.when(F.col("_gone").isNotNull(), plain))
+    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_plain", "\n"))
     before = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = out.withColumns({"_cut": cut, "n_lines": before, "_left": F.when(F.col("_keys").isNull(), before).otherwise(F.size("_plain")).cast("long")})
+    out = out.withColumns({"_cut": cut, "n_lines": before, "_left": F.when(F.col("_gone").isNull(), before).otherwise(F.size("_plain")).cast("long")})
     cols = [F.col("_cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*cols, "n_lines", (F.col("n_lines") - F.col("_left")).alias("n_dropped"))
 
