@@ -209,9 +209,9 @@ def line_confidence(spark, sf_dir):
     return layout.assemble(_boxes(spark, sf_dir)).select("file_id", "line_no", F.round("confidence", 4).alias("confidence"), "min_confidence")
 
 
-@query(_BOXES + "SELECT file_id, round(avg(confidence), 4) AS confidence, min(confidence) AS min_confidence, round(sum(confidence * length(text)), 4) AS read_mass, list_sort(list(confidence))[round(0.5 * (count(*) - 1))::INT + 1] AS reference, avg(confidence) < 0.7 AS needs_review FROM b GROUP BY file_id")
+@query(_BOXES + "SELECT file_id, round(avg(confidence), 4) AS confidence, min(confidence) AS min_confidence, round(sum(confidence * length(text)), 4) AS read_mass, list_sort(list(confidence))[round(0.5 * (count(*) - 1))::INT + 1] AS reference, avg(confidence) < 0.6999 AS needs_review FROM b GROUP BY file_id")
 def page_confidence(spark, sf_dir):
-    p = confidence.page_confidence(_boxes(spark, sf_dir), review_below=0.7)
+    p = confidence.page_confidence(_boxes(spark, sf_dir), review_below=0.6999)
     return p.select("file_id", F.round("confidence", 4).alias("confidence"), "min_confidence", F.round("read_mass", 4).alias("read_mass"), "reference", "needs_review")
 
 
