@@ -202,12 +202,10 @@ def _send(depth: int, modulus: int, remainder: int, buckets: int):
     def fn(table: pa.Table) -> pa.Table:
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, depth, modulus, remainder)
         grams, doc = chunk.grams()
-        train = ~chunk.held[doc]
-        keys, n = np.unique(grams[train], return_counts=True)
-        other = np.setdiff1d(grams[~train], keys)
-        both = np.concatenate([keys, other])
-        order = np.argsort(both)
-        sent = [(_GRAMS, both[order], np.concatenate([n, np.zeros(len(other), np.int64)])[order])]
+        which, found = pd.factorize(grams)  # by hashing; only distinct grams are sorted
+        n = np.bincount(which[~chunk.held[doc]], minlength=len(found))
+        order = np.argsort(found)
+        sent = [(_GRAMS, found[order], n[order])]
         lists = chunk.words()
         place, keys = _distinct_words(lists)
         counted: Counter = Counter()
