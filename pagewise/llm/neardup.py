@@ -61,14 +61,15 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, text) to (cls, shingle set), where the text still has that set."""
+    """(cls, text) to (cls, shingle set), where the text still has that set; a null cls takes the text's."""
     hashes = WordHashes()
     for batch in batches:
         cls, sets = [], []
         for want, raw in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
             s = shingle_set(hashes.of((raw or b"").lower().split()))
-            if xxhash.xxh3_128_digest(s.tobytes()) == want:
-                cls.append(want)
+            found = xxhash.xxh3_128_digest(s.tobytes())
+            if len(s) and found == (want or found):
+                cls.append(found)
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
@@ -198,11 +199,13 @@ _LINK = ("a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()])
 def _needed_sets(spark: SparkSession, docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     need = nodes.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(need.filter("rep is not null"), "rep").select("cls", "text")
-    # classes that have no doc_id at all are looked up among the rows without one
-    bare = docs.filter("doc_id is null").select("text").join(need.filter("rep is null").select("cls"), F.lit(True)) if need.filter("rep is null").limit(1).count() else None
-    if bare is not None:
-        texts = texts.unionByName(bare.select("cls", "text"))
-    return stored(spark, texts.mapInArrow(_sets, "cls binary, shingles binary").dropDuplicates(["cls"]), "sets")
+    sets = texts.mapInArrow(_sets, "cls binary, shingles binary")
+    # classes that have no doc_id at all are found by their sets among the rows without one
+    nameless = need.filter("rep is null").select("cls")
+    if nameless.limit(1).count():
+        bare = docs.filter("doc_id is null").select(F.lit(None).cast("binary").alias("cls"), "text")
+        sets = sets.unionByName(bare.mapInArrow(_sets, "cls binary, shingles binary").join(nameless, "cls", "left_semi"))
+    return stored(spark, sets.dropDuplicates(["cls"]), "sets")
 
 
 def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
