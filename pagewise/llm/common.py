@@ -132,6 +132,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_PIECE = 1 << 18
+_rng = np.random.default_rng(22)
+_GAPS = np.zeros(256, bool)
+_GAPS[[0x20, *range(0x09, 0x0E)]] = True
+_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+_CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]
+_CODE[_GAPS] = 0
+_BASE = int(_rng.integers(1, 2**63)) * 2 + 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+_POW, _INV = _powers(_BASE, _PIECE), _powers(pow(_BASE, -1, 2**64), _PIECE)
+
+
+def lower_word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words with A-Z lowered: the sum of code[byte] * base^place, mixed.
+
+    Computed over all bytes at once, in pieces that end between words, so that memory is bounded;
+    a word longer than a piece makes a longer one.
+    """
+    out, at = [], 0
+    while at < len(raw):
+        b = np.frombuffer(raw, np.uint8, min(_PIECE, len(raw) - at), at)
+        if at + len(b) < len(raw):
+            gaps = np.flatnonzero(_GAPS[b])
+            if len(gaps):
+                b = b[: gaps[-1] + 1]
+            else:
+                more = next((k for k in range(at + len(b), len(raw)) if _GAPS[raw[k]]), len(raw))
+                b = np.frombuffer(raw, np.uint8, more - at, at)
+        at += len(b)
+        power, inverse = (_POW, _INV) if len(b) <= _PIECE else (_powers(_BASE, len(b)), _powers(pow(_BASE, -1, 2**64), len(b)))
+        gap = _GAPS[b]
+        starts = ~gap
+        starts[1:] &= gap[:-1]
+        starts = np.flatnonzero(starts)
+        if len(starts):
+            out.append(mixed(np.add.reduceat(_CODE[b] * power[: len(b)], starts) * inverse[starts]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n words, by position."""
     x = np.full(max(0, len(h) - n + 1), n, np.uint64)
@@ -142,4 +186,9 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def shingle_set(h: np.ndarray, n: int = 5) -> np.ndarray:
     """Sorted distinct n-word shingles; a text of fewer words is one shingle, one of none has none."""
-    return np.unique(gram_hashes(h, min(n, len(h)))) if len(h) else h[:0]
+    if not len(h):
+        return h[:0]
+    g = np.sort(gram_hashes(h, min(n, len(h))))
+    first = np.ones(len(g), bool)
+    np.not_equal(g[1:], g[:-1], out=first[1:])
+    return g[first]
