@@ -106,18 +106,26 @@ def spanning_links(sets: list[np.ndarray], known: list, threshold: int) -> list[
     ends = np.cumsum(sizes)
     starts = ends - sizes
     links, mark = [], np.zeros(which.max() + 1, bool)
-    for p in range(n):
-        if (of == of[p]).all():
-            if len(set(of.tolist())) == 1:
-                break
+    home = int(np.flatnonzero(of == np.bincount(of).argmax())[0])
+    # home's component asks nothing where it is known; where nothing is, home asks first
+    turns = range(n) if len(label) < n else [home, *(p for p in range(n) if p != home)]
+    for turn, p in enumerate(turns):
+        if of[p] == of[home] and (turn or len(label) < n):
+            continue
+        others = np.flatnonzero(of != of[p])
+        if not len(others):
+            break
+        others = others[100 * np.minimum(sizes[others], sizes[p]) >= threshold * np.maximum(sizes[others], sizes[p])]
+        if not len(others):
             continue
-        mine = which[starts[p] : ends[p]]
-        mark[mine] = True
-        shared = np.add.reduceat(mark[which], starts)
-        mark[mine] = False
-        near = 100 * shared >= threshold * (sizes + sizes[p] - shared)
-        near &= of != of[p]
-        for q in np.flatnonzero(near):
+        mark[which[starts[p] : ends[p]]] = True
+        if len(others) > n // 8:
+            shared = np.add.reduceat(mark[which], starts, dtype=np.int64)[others]
+        else:
+            shared = np.array([np.count_nonzero(mark[which[starts[q] : ends[q]]]) for q in others])
+        mark[which[starts[p] : ends[p]]] = False
+        near = 100 * shared >= threshold * (sizes[others] + sizes[p] - shared)
+        for q in others[near]:
             if of[q] != of[p]:
                 links.append((p, int(q)))
                 of[of == of[q]] = of[p]
