@@ -36,6 +36,7 @@ from .common import U, byte_texts, lower_word_hashes, shingle_set, stored
 TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 2, 2, 4
 POSITIONS = TREES * DEPTH * PER_LEVEL
 LEAF, BLOCK, PIVOTS = 24, 384, 4
+ROWS_A_TASK = 250_000
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.default_rng(21).integers(1, 2**63, POSITIONS, dtype=np.uint64)
 
@@ -147,16 +148,19 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """links (a, b) to (cls, comp): comp is the smallest member of the component.
 
     Labels fall to the least neighbour's and then to the label's own label (pointer jumping) until
-    nothing changes, so long chains take few rounds. Each round is a written table.
+    nothing changes, so long chains take few rounds. Each round is a written table, by as many tasks
+    as its rows need: a few links over many partitions would else cost a task a partition a round.
     """
     both = stored(spark, links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    labels = stored(spark, both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("comp")), "labels")
+    tasks = -(-both.count() // ROWS_A_TASK) or 1
+    labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("comp"))
+    labels = stored(spark, labels.coalesce(tasks), "labels")
     while True:
         step = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
         step = labels.join(step.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
-        step = stored(spark, step, "labels")
+        step = stored(spark, step.coalesce(tasks), "labels")
         jump = step.select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
-        new = stored(spark, step.join(jump, "comp").select("cls", "was", F.col("to").alias("comp")), "labels")
+        new = stored(spark, step.join(jump, "comp").select("cls", "was", F.col("to").alias("comp")).coalesce(tasks), "labels")
         changed = new.filter(F.col("was") != F.col("comp")).limit(1).count()
         labels = new.select("cls", "comp")
         if not changed:
