@@ -6,9 +6,13 @@ hashes of SEGMENTS equal runs of its tokens. Tokens with a digit are variable fi
 segment out, so a field that varies without digits is generalised too: two lines with one token
 count, the same leading tokens and all segments but one in common share a template.
 
+A line of under SHORT tokens of which masking would leave nothing but `<*>` (a page number, say) has
+its tokens as they are for a template, so that different numbers stay apart.
+
 A template that recurs across documents is boilerplate: its lines stay in the first document that
-has it (least doc_id) and are dropped from the others. Lines of under MIN_TOKENS tokens are left
-alone, as they recur by chance.
+has it (least doc_id) and are dropped from the others. A line of under SHORT tokens must be in one
+document more than others to count as boilerplate, so such a line in just two documents stays. Lines
+of under SHORT tokens without a word, which part paragraphs, have no template.
 
 Everything is by keys: templates are counted with partial sums, and each document gets the places
 of its own lines that it has to drop, so no group is ever gathered.
@@ -27,22 +31,48 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MIN_TOKENS, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
+SHORT, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
 #: What stands for a null doc_id, so that it comes last.
 LAST = 2**63 - 1
 #: A token with a digit in it.
 VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
+def plain(text: Column) -> Column:
+    """White space other than line feeds reads as blanks, each of which ends a token."""
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+
+
 def generalised(text: Column) -> Column:
-    """Variable fields masked; other white space reads as blanks, each of which ends a token."""
-    plain = F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, "<*>")).otherwise(plain)
+    """Variable fields masked in a plain text."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
+
+
+def line_keys(text: Column) -> Column:
+    """The keys of each line's templates, by place."""
+    # bound by a transform, so that the plain lines are split once a text and not once a line
+    exact = F.array(lines_of(plain(text)))
+    return F.element_at(F.transform(exact, lambda lines: F.transform(lines_of(generalised(plain(text))), lambda line, place: templates(line, F.get(lines, place)))), 1)
+
+
+def templates(line: Column, exact: Column) -> Column:
+    """Keys of a generalised line's templates; the first is that of the whole line. exact is the line before masking."""
+    return F.element_at(F.transform(F.array(F.split(line, " ")), lambda tokens: _of_line(line, tokens, exact)), 1)
+
+
+def _of_line(line: Column, tokens: Column, exact: Column) -> Column:
+    nothing_fixed = ~line.rlike("[^<*> ]")
+    short = F.when(~nothing_fixed, F.array(_short(tokens))).when(F.trim(exact) == "", F.array().cast("array<bigint>")).otherwise(F.array(_short(F.split(exact, " "))))
+    return F.when(F.size(tokens) >= SHORT, _of_tokens(tokens)).otherwise(short)
+
+
+def _short(tokens: Column) -> Column:
+    """The key of a short line is odd, those of others are even."""
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING), tokens).bitwiseOR(F.lit(1))
 
 
-def templates(line: Column) -> Column:
-    """Keys of a generalised line's templates; the first is that of the whole line. Empty if it is short."""
-    return F.element_at(F.transform(F.array(F.split(line, " ")), _of_tokens), 1)
+def _even(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(-2))
 
 
 def _of_tokens(tokens: Column) -> Column:
@@ -50,14 +80,13 @@ def _of_tokens(tokens: Column) -> Column:
 
     def of_segments(segments: Column) -> Column:
         lead = F.slice(tokens, 1, LEADING)
-        some = [F.xxhash64(n, lead, F.lit(k), F.concat(F.slice(segments, 1, k), F.slice(segments, k + 2, SEGMENTS))) for k in range(SEGMENTS)]
-        whole = F.xxhash64(n, lead, F.lit(-1), segments)
+        some = [_even(F.xxhash64(n, lead, F.lit(k), F.concat(F.slice(segments, 1, k), F.slice(segments, k + 2, SEGMENTS)))) for k in range(SEGMENTS)]
+        whole = _even(F.xxhash64(n, lead, F.lit(-1), segments))
         return F.when(n >= LONG, F.array(whole, *some)).otherwise(F.array(whole))
 
     cut = lambda k: (n * k / SEGMENTS).cast("int")
     segments = F.array(*[F.xxhash64(F.slice(tokens, cut(k) + 1, cut(k + 1) - cut(k))) for k in range(SEGMENTS)])
-    keys = F.element_at(F.transform(F.array(segments), of_segments), 1)
-    return F.when(n >= MIN_TOKENS, keys).otherwise(F.array().cast("array<bigint>"))
+    return F.element_at(F.transform(F.array(segments), of_segments), 1)
 
 
 def lines_of(text: Column) -> Column:
@@ -66,14 +95,17 @@ def lines_of(text: Column) -> Column:
 
 def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
     """(id, text_hash, gone): the places of the lines that a document has to drop."""
-    keys = F.transform(lines_of(generalised(F.col("text"))), templates)
+    keys = line_keys(F.col("text"))
     per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
     lines = stored(spark, per_doc, "templates").select("id", "text_hash", F.posexplode("keys").alias("place", "line_keys"))
     rows = lines.select("id", "text_hash", "place", F.explode("line_keys").alias("key"))
+    is_short = F.col("key").bitwiseAND(F.lit(1)) == 1
     # a template recurs across documents if the first and the last that have it differ
-    found = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
+    found = rows.filter(~is_short).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
     found = found.filter(F.col("first") < F.col("last"))
     found = (found.filter(F.col("n") >= min_docs) if min_docs > 2 else found).select("key", "first")
+    short = rows.filter(is_short).groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n"))
+    found = found.unionByName(short.filter(F.col("n") > min_docs).select("key", "first"))
     return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
 
 

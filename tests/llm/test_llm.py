@@ -262,6 +262,15 @@ def test_line_dedup(spark, none):
     assert linededup.dedup_lines(spark, none).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    text = "All rights reserved.\nPage {0} of 9\n{0}\n\n7 7\nSee\t{0}\n{1}"
+    rows = [(k, text.format(k, "in two" if k < 3 else "word" * k)) for k in (1, 2, 3, 4)] + [(5, "12\n \nno"), (6, " \n12"), (7, "12\n \nyes\n2")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 7, 0)
+    assert [got[k] for k in (2, 3, 4)] == [("2\n\nin two", 7, 4), ("3\n\nwordwordword", 7, 4), ("4\n\nwordwordwordword", 7, 4)]  # different numbers and blank lines stay
+    assert [got[k] for k in (5, 6, 7)] == [(rows[4][1], 3, 0), (" ", 2, 1), (" \nyes\n2", 4, 1)]
+
+
 def test_pipeline(spark):
     docs = queries.documents(spark, SF)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
