@@ -2,9 +2,11 @@
 
 A line is parsed at a fixed depth: by its number of tokens, then by its leading tokens, then by
 hashes of SEGMENTS equal runs of its tokens. Tokens with a digit are variable fields and read as
-`<*>`. A long line has, besides the template of all its segments, the templates that leave one
-segment out, so a field that varies without digits is generalised too: two lines with one token
-count, the same leading tokens and all segments but one in common share a template.
+`<*>`. Fields that vary without digits are generalised by further templates within the leaf of one
+token count and the same leading tokens. A line of LONG tokens or more has the templates that leave
+two segments out, so that any two variable words after the leading ones are covered. A line of SHORT
+tokens or more that isn't long has the templates that leave one token after the leading ones out;
+such a template counts if at least VALUES different lines have it, as two may differ by chance.
 
 A line of under SHORT tokens of which masking would leave nothing but `<*>` (a page number, say) has
 its tokens as they are for a template, so that different numbers stay apart.
@@ -32,6 +34,11 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHORT, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
+#: Different lines that show a field of a line that isn't long to be variable.
+VALUES = 3
+#: The last two bits of a key: of a template counted by documents alone, of a short line, of one with a token left out.
+PLAIN, OF_SHORT, ONE_OUT = 0, 1, 2
+PAIRS = [(j, k) for j in range(SEGMENTS) for k in range(j + 1, SEGMENTS)]
 #: What stands for a null doc_id, so that it comes last.
 LAST = 2**63 - 1
 #: A token with a digit in it.
@@ -67,22 +74,22 @@ def _of_line(line: Column, tokens: Column, exact: Column) -> Column:
 
 
 def _short(tokens: Column) -> Column:
-    """The key of a short line is odd, those of others are even."""
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING), tokens).bitwiseOR(F.lit(1))
+    return _marked(OF_SHORT, F.size(tokens), F.slice(tokens, 1, LEADING), tokens)
 
 
-def _even(key: Column) -> Column:
-    return key.bitwiseAND(F.lit(-2))
+def _marked(kind: int, *of: Column) -> Column:
+    return F.xxhash64(*of).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(kind))
 
 
 def _of_tokens(tokens: Column) -> Column:
     n = F.size(tokens)
+    lead = F.slice(tokens, 1, LEADING)
 
     def of_segments(segments: Column) -> Column:
-        lead = F.slice(tokens, 1, LEADING)
-        some = [_even(F.xxhash64(n, lead, F.lit(k), F.concat(F.slice(segments, 1, k), F.slice(segments, k + 2, SEGMENTS)))) for k in range(SEGMENTS)]
-        whole = _even(F.xxhash64(n, lead, F.lit(-1), segments))
-        return F.when(n >= LONG, F.array(whole, *some)).otherwise(F.array(whole))
+        some = [_marked(PLAIN, n, lead, F.lit(j * SEGMENTS + k), F.array(*[segments[i] for i in range(SEGMENTS) if i not in (j, k)])) for j, k in PAIRS]
+        whole = _marked(PLAIN, n, lead, F.lit(-1), segments)
+        one_out = F.transform(F.sequence(F.lit(LEADING + 1), n), lambda k: _marked(ONE_OUT, n, k, F.slice(tokens, 1, k - 1), F.slice(tokens, k + 1, n)))
+        return F.when(n >= LONG, F.array(whole, *some)).otherwise(F.concat(F.array(whole), one_out))
 
     cut = lambda k: (n * k / SEGMENTS).cast("int")
     segments = F.array(*[F.xxhash64(F.slice(tokens, cut(k) + 1, cut(k + 1) - cut(k))) for k in range(SEGMENTS)])
@@ -97,15 +104,17 @@ def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
     """(id, text_hash, gone): the places of the lines that a document has to drop."""
     keys = line_keys(F.col("text"))
     per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
-    lines = stored(spark, per_doc, "templates").select("id", "text_hash", F.posexplode("keys").alias("place", "line_keys"))
+    lines = stored(spark, per_doc, "templates").select("id", "text_hash", F.posexplode("keys").alias("place", "line_keys")).filter(F.size("line_keys") > 0)
     rows = lines.select("id", "text_hash", "place", F.explode("line_keys").alias("key"))
-    is_short = F.col("key").bitwiseAND(F.lit(1)) == 1
+    of = lambda kind: F.col("key").bitwiseAND(F.lit(3)) == kind
+    several = [F.count_distinct("id").alias("n")] if min_docs > 2 else []
     # a template recurs across documents if the first and the last that have it differ
-    found = rows.filter(~is_short).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), *([F.count_distinct("id").alias("n")] if min_docs > 2 else []))
-    found = found.filter(F.col("first") < F.col("last"))
-    found = (found.filter(F.col("n") >= min_docs) if min_docs > 2 else found).select("key", "first")
-    short = rows.filter(is_short).groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n"))
-    found = found.unionByName(short.filter(F.col("n") > min_docs).select("key", "first"))
+    recurs = (F.col("first") < F.col("last")) & (F.col("n") >= min_docs if several else F.lit(True))
+    found = rows.filter(of(PLAIN)).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), *several).filter(recurs)
+    short = rows.filter(of(OF_SHORT)).groupBy("key").agg(F.min("id").alias("first"), F.count_distinct("id").alias("n")).filter(F.col("n") > min_docs)
+    wholes = lines.select("id", F.element_at("line_keys", 1).alias("whole"), F.explode("line_keys").alias("key")).filter(of(ONE_OUT))
+    varied = wholes.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("whole").alias("lines"), *several).filter(recurs & (F.col("lines") >= VALUES))
+    found = found.select("key", "first").unionByName(short.select("key", "first")).unionByName(varied.select("key", "first"))
     return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
 
 

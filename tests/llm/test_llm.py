@@ -271,6 +271,15 @@ def test_line_dedup_of_short_lines(spark):
     assert [got[k] for k in (5, 6, 7)] == [(rows[4][1], 3, 0), (" ", 2, 1), (" \nyes\n2", 4, 1)]
 
 
+def test_line_dedup_of_fields_without_digits(spark):
+    line, long = "Posted in {} by the staff", "Posted in the {} section on a fine day by {} of our " + "ever so busy staff here " * 2
+    rows = [(k, f"{line.format(x)}\nSeen by {a} of just two") for k, (x, a) in enumerate([("News", "Ann"), ("Sport", "Bob"), ("Arts", "Bob")])]
+    rows += [(3, long.format("News", "Ann")), (4, long.format("Sport", "Bob")), (5, line.format("Music").replace("staff", "editor"))]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (rows[0][1], 0) and got[1] == ("Seen by Bob of just two", 1) and got[2] == ("", 2)
+    assert got[3][1] == 0 and got[4] == ("", 1) and got[5][1] == 0  # two words in different quarters; two words of a line that isn't long
+
+
 def test_pipeline(spark):
     docs = queries.documents(spark, SF)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
