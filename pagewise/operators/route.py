@@ -44,10 +44,13 @@ def office_kind(content: Column) -> Column:
     """Office format by magic: zip packages by the names of their parts, OLE2, RTF."""
     h = head(content, 1, 8)
     parts = F.decode(F.substring(content, 1, 1 << 16), "ISO-8859-1")
+    # the central directory names every part, also those that begin beyond the prefix
+    listed = F.decode(content, "ISO-8859-1")
+    has = lambda folder: parts.contains(folder) | listed.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}")
     zipped = (
         F.when(parts.contains("mimetypeapplication/epub+zip"), "epub").when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.text"), "odt")
         .when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.spreadsheet"), "ods").when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.presentation"), "odp")
-        .when(parts.contains("word/"), "docx").when(parts.contains("xl/"), "xlsx").when(parts.contains("ppt/"), "pptx")
+        .when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
     )
     return F.when(h.startswith("504B0304"), zipped).when(h == "D0CF11E0A1B11AE1", "doc").when(h.startswith("7B5C727466"), "rtf")
 

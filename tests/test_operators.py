@@ -68,6 +68,19 @@ def test_route(spark):
     assert got == {0: ("empty", None), 1: ("pdf", None), 2: ("image", "png"), 3: ("office", "csv"), 4: ("unknown", None), 5: ("image", "heic"), 6: ("unknown", None), 7: ("unknown", None)}
 
 
+def test_route_of_packages_with_large_first_entries(spark):
+    def package(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name in ("docProps/thumbnail.jpeg", *names):
+                z.writestr(name, b"\xff" * 80000)
+        return bytearray(out.getvalue())
+
+    rows = [(0, package("word/document.xml", "a")), (1, package("xl/workbook.xml", "a")), (2, package("ppt/presentation.xml", "a")), (3, package("a", "b"))]
+    got = {r.id: (r.route, r.format) for r in route.inspect(spark.createDataFrame([(*r, None) for r in rows], "id int, content binary, filename string")).collect()}
+    assert got == {0: ("office", "docx"), 1: ("office", "xlsx"), 2: ("office", "pptx"), 3: ("unknown", None)}
+
+
 def test_accounts_for_every_page(spark):
     pages = spark.createDataFrame([(1, 1, " a ", "text", 0), (1, 2, "", "unresolved", 0), (1, 3, "c", "ocr", 2)], "file_id int, number int, markdown string, origin string, human_regions long")
     r = account.roll_up(pages, markers=True, strict=True).first()
