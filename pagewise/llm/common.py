@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 import zlib
 
@@ -36,11 +36,11 @@ def words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. There is no other choice: a folder of the driver's
+    own would lose what executors write."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="pagewise-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found
 
 
@@ -48,7 +48,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/pagewise-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pagewise_path = path
+    return out
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and nothing reads any more."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._pagewise_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -56,7 +65,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def chunked(spark: SparkSession, docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """Deal (doc_id, text) into chunks of about chunk_bytes of text by a hash of doc_id.
+    """Deal (doc_id, text) into chunks of about chunk_bytes of text by a hash of doc_id, or of the text
+    where that is null.
 
     Returns a table bucketed by `chunk`, so that grouping by chunk needs no further shuffle of
     text however often it is read, and the number of chunks. Rows with equal doc_id share a chunk.
@@ -65,7 +75,8 @@ def chunked(spark: SparkSession, docs: DataFrame, chunk_bytes: int) -> tuple[Dat
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
     name = f"pagewise_chunks_{uuid.uuid4().hex}"
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    spread = F.coalesce("doc_id", F.xxhash64("text"))
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
     dealt.repartition(n, "chunk").write.option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name), n
 
@@ -125,57 +136,29 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-_PIECE = 1 << 18
-_rng = np.random.default_rng(22)
-_GAPS = np.zeros(256, bool)
-_GAPS[[0x20, *range(0x09, 0x0E)]] = True
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_CODE[ord("A") : ord("Z") + 1] = _CODE[ord("a") : ord("z") + 1]
-_CODE[_GAPS] = 0
-_BASE = int(_rng.integers(1, 2**63)) * 2 + 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+PIECE = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-_POW, _INV = _powers(_BASE, _PIECE), _powers(pow(_BASE, -1, 2**64), _PIECE)
-
-
-def lower_word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of a text's words with A-Z lowered: the sum of code[byte] * base^place, mixed.
-
-    Computed over all bytes at once, in pieces that end between words, so that memory is bounded;
-    a word longer than a piece makes a longer one.
-    """
+def lower_word_hashes(raw: bytes, hashes: WordHashes) -> np.ndarray:
+    """Hashes of a text's words with A-Z lowered, piece by piece, so that a long text's words are
+    never all held apart."""
     out, at = [], 0
     while at < len(raw):
-        b = np.frombuffer(raw, np.uint8, min(_PIECE, len(raw) - at), at)
-        if at + len(b) < len(raw):
-            gaps = np.flatnonzero(_GAPS[b])
-            if len(gaps):
-                b = b[: gaps[-1] + 1]
-            else:
-                more = next((k for k in range(at + len(b), len(raw)) if _GAPS[raw[k]]), len(raw))
-                b = np.frombuffer(raw, np.uint8, more - at, at)
-        at += len(b)
-        power, inverse = (_POW, _INV) if len(b) <= _PIECE else (_powers(_BASE, len(b)), _powers(pow(_BASE, -1, 2**64), len(b)))
-        gap = _GAPS[b]
-        starts = ~gap
-        starts[1:] &= gap[:-1]
-        starts = np.flatnonzero(starts)
-        if len(starts):
-            out.append(mixed(np.add.reduceat(_CODE[b] * power[: len(b)], starts) * inverse[starts]))
+        gap = _GAP.search(raw, at + PIECE)
+        end = gap.start() if gap else len(raw)
+        out.append(hashes.of(raw[at:end].lower().split()))
+        at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n words, by position."""
     x = np.full(max(0, len(h) - n + 1), n, np.uint64)

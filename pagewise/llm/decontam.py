@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, byte_texts, gram_hashes, mixed, shingle_set
+from .common import U, WordHashes, byte_texts, gram_hashes, lower_word_hashes, mixed, shingle_set
 
 BLOCK_SHINGLES = 1_000_000
 SHINGLE = 5
@@ -111,8 +111,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
             for batch in batches:
                 found = []
                 for doc, raw in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-                    if raw and (ws := raw.lower().split()):
-                        found += [(doc, *m) for m in index.value.matches(hashes.of(ws))]
+                    if raw:
+                        found += [(doc, *m) for m in index.value.matches(lower_word_hashes(raw, hashes))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
@@ -128,7 +128,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
             hashes = WordHashes()
             for batch in batches:
                 texts = byte_texts(batch.column(batch.schema.get_field_index("text")))
-                yield batch.filter(pa.array([not (raw and (ws := raw.lower().split()) and index.value.matches(hashes.of(ws))) for raw in texts], pa.bool_()))
+                yield batch.filter(pa.array([not (raw and index.value.matches(lower_word_hashes(raw, hashes))) for raw in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

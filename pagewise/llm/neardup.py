@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, byte_texts, lower_word_hashes, shingle_set, stored
+from .common import U, WordHashes, byte_texts, dropped, lower_word_hashes, shingle_set, stored
 
 TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 2, 2, 4
 POSITIONS = TREES * DEPTH * PER_LEVEL
@@ -50,10 +50,11 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
     for batch in batches:
         n, cls, sigs = [], [], []
         for raw in byte_texts(batch.column(1)):
-            s = shingle_set(lower_word_hashes(raw or b""))
+            s = shingle_set(lower_word_hashes(raw or b"", hashes))
             n.append(len(s))
             cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(minhash(s) if len(s) else None)
@@ -62,10 +63,11 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, text) to (cls, shingle set), where the text still has that set; a null cls takes the text's."""
+    hashes = WordHashes()
     for batch in batches:
         cls, sets = [], []
         for want, raw in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-            s = shingle_set(lower_word_hashes(raw or b""))
+            s = shingle_set(lower_word_hashes(raw or b"", hashes))
             found = xxhash.xxh3_128_digest(s.tobytes())
             if len(s) and found == (want or found):
                 cls.append(found)
