@@ -6,22 +6,24 @@ SPAN bytes with another one matter. Each window of SPAN bytes has an anchor: the
 with the least hash, the leftmost such. Equal windows have equal anchors at equal offsets. So
 
 1. each chunk of documents sends the hashes of its anchors, once each, to buckets of the hash;
-2. buckets tell chunks, by a bit each, which hashes other chunks have as well;
+2. buckets tell chunks, by two bits each, which hashes other chunks have as well, and which are hot;
 3. chunks send the suffixes at repeated anchors, with the bytes before them, once for each distinct
    context (later equal ones in the chunk are repeats already), to buckets;
 4. buckets sort the suffixes, and the reversed prefixes, deep-shallow: multikey quicksort by 8-byte
    characters to SHALLOW bytes, then blind tries for the groups with a longer common prefix. Common
    prefix lengths give, for each offset of the anchor in a window, the groups of equal windows; all
-   but the first of a group, by document and start, are repeats;
+   but the first of a group, by document and start, are repeats. A bucket sorts the contexts of some
+   anchors at a time. An anchor with more than HOT contexts isn't sorted in one place: each of its
+   windows goes by a 128-bit hash of its own, which gives the same groups;
 5. chunks cut the bytes that repeats cover.
 
 Chunks, not rows, are shuffled, as packed arrays; a chunk sends each string once, so frequent ones
 come as often as there are chunks.
 
 Order: by doc_id, null last, and start. Edge cases: a null text is empty; matches never cross
-documents; texts under SPAN bytes stay whole; rows with equal doc_id are taken in order of their
-text, and of rows equal in both one counts as earlier; an empty table gives an empty result;
-extra columns are ignored.
+documents; texts under SPAN bytes stay whole; rows with equal doc_id share a chunk and are taken
+one after the other; rows without one are taken in order of a hash of their text; of rows equal in
+both one counts as earlier; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +33,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import U, byte_texts, chunked, mixed, pack, pack_keys, stored, unpack, unpack_keys
+from .common import U, byte_texts, chunked, dropped, mixed, pack, pack_keys, stored, unpack, unpack_keys
 
 SPAN, K = 100, 24
 OFFSETS = SPAN - K + 1  # places of an anchor in a window, 0 to OFFSETS - 1
 SHALLOW = 32
 CHUNK_BYTES = 6 << 20
+#: Windows of a chunk, and contexts of a chunk or bucket, that are worked on at a time.
+SLICE, PIECE = 1 << 18, 1 << 14
+#: Distinct contexts up to which an anchor's are sorted together; those of a hotter one are spread by window.
+HOT = 1 << 15
 _BYTE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-_LAST = np.iinfo(np.int64).max
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -77,6 +84,39 @@ def blind_trie_order(strings: list[bytes]) -> list[int]:
     return out
 
 
+def multikey_quicksort(chars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their first `depth` characters, and by place in it the number of the
+    range of equal ones.
+
+    Ternary partitions about a pivot of each range, the median of three of its characters; all ranges
+    of a round are split at once. Ranges equal to the pivot go on with the next character.
+    """
+    n = len(chars)
+    order, at = np.arange(n), np.zeros(n, np.int64)  # at: the character by which a place's range is split next
+    head = np.zeros(n, bool)
+    head[:1] = True
+    live = np.arange(n if depth and n > 1 else 0)
+    while len(live):
+        rows = order[live]
+        c = chars[rows, at[live]]
+        lo = np.flatnonzero(head[live])
+        size = np.diff(np.append(lo, len(live)))
+        x, y, z = c[lo], c[lo + size // 2], c[lo + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), size)
+        side = 1 + (c > pivot).astype(np.int64) - (c < pivot)
+        part = np.repeat(np.arange(len(lo)), size) * 3 + side
+        moved = np.argsort(part, kind="stable")
+        part = part[moved]
+        order[live] = rows[moved]
+        new = np.append(True, part[1:] != part[:-1])
+        head[live] = new
+        at[live] += part % 3 == 1
+        lo = np.flatnonzero(new)
+        several = np.repeat(np.diff(np.append(lo, len(live))) > 1, np.diff(np.append(lo, len(live))))
+        live = live[several & (at[live] < depth)]
+    return order, np.cumsum(head)
+
+
 def deep_shallow_sort(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of an n x length byte matrix, and the common prefix of each with the one
     before it in that order."""
@@ -84,15 +124,9 @@ def deep_shallow_sort(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros((n, -(-length // 8) * 8), np.uint8)
     padded[:, :length] = strings
     chars = padded.view(">u8").astype(np.uint64)
-    # multikey quicksort, breadth first: each round sorts all ranges of equal prefix by one character
-    group = np.zeros(n, np.int64)
-    order = np.arange(n)
-    for d in range(min(SHALLOW // 8, chars.shape[1])):
-        order = np.lexsort((chars[:, d], group))
-        g, c = group[order], chars[order, d]
-        new = np.ones(n, bool)
-        new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-        group[order] = np.cumsum(new)
+    order, of = multikey_quicksort(chars, min(SHALLOW // 8, chars.shape[1]))
+    group = np.empty(n, np.int64)
+    group[order] = of
     # the rest by blind tries, a trie for each group with rests that differ
     rest = padded[:, SHALLOW:]
     rank = np.zeros(n, np.int64)
@@ -130,29 +164,40 @@ class Chunk:
     """The documents of a chunk, in order, as one byte array."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("doc_id").to_pylist()
+        self.ids = table.column("doc_id").to_pylist()
         texts = [t or b"" for t in byte_texts(table.column("text"))]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        late, key = order_keys(self.ids, texts)
+        order = np.lexsort((key, late))
+        self.late, self.key = late[order], key[order]
+        self.ids, self.texts = [self.ids[i] for i in order], [texts[i] for i in order]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
 
     def anchors(self) -> tuple[np.ndarray, ...]:
-        """place, hash, and least and most offset in the windows it anchors, of each anchor by place."""
-        n = len(self.data)
-        none = np.zeros(0, np.int64)
-        if not (self.sizes >= SPAN).any():
-            return none, none.astype(np.uint64), none, none
-        h, width = _BYTE[self.data], 1
+        """place, hash, and least and most offset in the windows it anchors, of each anchor by place.
+
+        Works through slices of windows, so that what it holds beside its result is bounded.
+        """
+        parts = [self._slice_anchors(at, min(SLICE, len(self.data) - SPAN + 1 - at)) for at in range(0, len(self.data) - SPAN + 1, SLICE)]
+        place, h, first, last = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in range(4))
+        new = np.append(True, place[1:] != place[:-1]) if len(place) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(place))[: len(heads)] - 1
+        return place[heads], h[heads].astype(np.uint64), place[heads] - last[tails], place[heads] - first[heads]
+
+    def _slice_anchors(self, lo: int, n: int) -> tuple[np.ndarray, ...]:
+        """place, hash, first and last window of the anchors of the windows that start at lo to lo + n - 1."""
+        h, width = _BYTE[self.data[lo : lo + n + SPAN - 1]], 1
         for bit in (8, 16):  # 8 bytes, then 16, then 24 of 8 and 16
             while width < bit:
                 h = mixed(h[: len(h) - width] * U(0x9E3779B97F4A7C15) + h[width:])
                 width *= 2
             if bit == 8:
                 eight = h
-        h = mixed(h[: n - K + 1] * U(0xD6E8FEB86659FD93) + eight[16 : n - K + 17])
+        grams = n + SPAN - K
+        h = mixed(h[:grams] * U(0xD6E8FEB86659FD93) + eight[16 : 16 + grams])
         m = (h >> U(32) << U(32)) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while width * 2 <= OFFSETS:
@@ -160,26 +205,56 @@ class Chunk:
             width *= 2
         extra = OFFSETS - width
         m = np.minimum(m[: len(m) - extra], m[extra:])
-        inside = np.zeros(len(m) + 1, np.int64)  # windows within one document
-        long = self.sizes >= SPAN
-        np.add.at(inside, self.starts[long], 1)
-        np.add.at(inside, self.ends[long] - SPAN + 1, -1)
-        at = np.flatnonzero(np.cumsum(inside[:-1]))
+        inside = np.ones(n, bool)  # windows within one document
+        doc, end = np.searchsorted(self.ends, [lo, lo + n], "right").tolist()
+        for b in self.ends[doc : end + 1].tolist():
+            inside[max(0, b - SPAN + 1 - lo) : max(0, b - lo)] = False
+        at = np.flatnonzero(inside)
         place = (m[at] & U(0xFFFFFFFF)).astype(np.int64)
-        new = np.append(True, place[1:] != place[:-1])
-        firsts = np.flatnonzero(new)
-        lasts = np.append(firsts[1:], len(at)) - 1
-        place = place[firsts]
-        return place, h[place], place - at[lasts], place - at[firsts]
+        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
+        tails = np.append(heads[1:], len(at))[: len(heads)] - 1
+        # anchors are those of least hash: mixed once more, so that buckets of the hash are even
+        return place[heads] + lo, mixed(h[place[heads]]), at[heads] + lo, at[tails] + lo
 
     def contexts(self, place: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bytes around each anchor: OFFSETS - 1 before it, 0 where its windows don't reach, and SPAN from it."""
-        around = np.zeros(len(self.data) + OFFSETS - 1 + SPAN, np.uint8)
-        around[OFFSETS - 1 : OFFSETS - 1 + len(self.data)] = self.data
-        out = np.lib.stride_tricks.sliding_window_view(around, OFFSETS - 1 + SPAN)[place].copy()
+        at = place[:, None] + np.arange(1 - OFFSETS, SPAN)
+        out = self.data[np.clip(at, 0, len(self.data) - 1)]
+        out[at >= len(self.data)] = 0
         out[:, : OFFSETS - 1][np.arange(OFFSETS - 1, 0, -1) > most[:, None]] = 0
         return out
 
+    def context_prints(self, place: np.ndarray, h: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """A hash of each anchor's context and offsets."""
+        out = h + least.astype(np.uint64) * U(977) + most.astype(np.uint64) * U(131071)
+        for lo in range(0, len(place), PIECE):
+            around = self.contexts(place[lo : lo + PIECE], most[lo : lo + PIECE])
+            padded = np.zeros((len(around), -(-around.shape[1] // 8) * 8), np.uint8)
+            padded[:, : around.shape[1]] = around
+            for c in padded.view(np.uint64).T:
+                out[lo : lo + PIECE] = mixed(out[lo : lo + PIECE] * U(31) + c)
+        return out
+
+    def window_prints(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each window, as two arrays."""
+        out = np.zeros(len(start), np.uint64), np.zeros(len(start), np.uint64)
+        eights = np.lib.stride_tricks.sliding_window_view(self.data, 8)
+        for lo in range(0, len(start), PIECE):
+            at = start[lo : lo + PIECE]
+            for k in [*range(0, SPAN - 8, 8), SPAN - 8]:
+                c = np.ascontiguousarray(eights[at + k]).view(np.uint64).reshape(-1)
+                for x, by in zip(out, (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)), strict=True):
+                    x[lo : lo + PIECE] = mixed(x[lo : lo + PIECE] * by + mixed(c ^ by))
+        return out
+
+
+def order_keys(ids: list[int | None], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """By document: whether it has no doc_id, and the doc_id or else a hash of the text. Of rows with
+    one doc_id those later in the chunk count as later."""
+    late = np.array([i is None for i in ids], np.uint8)
+    key = np.array([xxhash.xxh3_64_intdigest(t) >> 1 if i is None else i for i, t in zip(ids, texts, strict=True)], np.int64)
+    return late, key
+
 
 def _split(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted 64-bit keys dealt by their upper part."""
@@ -196,29 +271,46 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 _BLOBS = (["key", "chunk", "blob"], [pa.int32(), pa.int32(), pa.binary()])
 _BLOBS_DDL = "key int, chunk int, blob binary"
 _KINDS = (["kind", "key", "chunk", "blob"], [pa.int32(), pa.int32(), pa.int32(), pa.binary()])
-_META = (np.int64, np.int32, np.int64, np.uint8, np.uint8)
+_KINDS_DDL = f"kind int, {_BLOBS_DDL}"
+#: Kinds of rows: contexts to be sorted, spans of a chunk that are repeats already, windows of hot anchors.
+_CONTEXTS, _SPANS, _WINDOWS = 0, 1, 2
+_META = (np.uint8, np.int64, np.int32, np.int64, np.uint8, np.uint8)
+_PRINTS = (np.uint64, np.uint8, np.int64, np.int32, np.int64)
 
 
 def _send_hashes(buckets: int):
+    """To each bucket: the chunk's anchor hashes, and how many distinct contexts it has of each."""
+
     def fn(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        keys = np.unique(Chunk(table).anchors()[1])
-        return _table([(b, chunk, pack_keys(keys[lo:hi])) for b, lo, hi in _split(keys, buckets)], *_BLOBS)
+        number, chunk = table.column("chunk")[0].as_py(), Chunk(table)
+        place, h, least, most = chunk.anchors()
+        keys, which, n = np.unique(h, return_inverse=True, return_counts=True)
+        again = n[which] > 1
+        if again.any():
+            prints = chunk.context_prints(place[again], h[again], least[again], most[again])
+            _, first = np.unique(prints, return_index=True)
+            n = np.where(n > 1, np.bincount(which[again][first], minlength=len(keys)), 1)
+        return _table([(b, number, pack_keys(keys[lo:hi], n[lo:hi].astype(np.uint32))) for b, lo, hi in _split(keys, buckets)], *_BLOBS)
 
     return fn
 
 
-def _find_repeated(table: pa.Table) -> pa.Table:
-    bucket = table.column("key")[0].as_py()
-    lists = [unpack_keys(b)[0] for b in table.column("blob").to_pylist()]
-    keys, n = np.unique(np.concatenate(lists), return_counts=True)
-    twice = keys[n > 1]
-    rows = []
-    for chunk, mine in zip(table.column("chunk").to_pylist(), lists, strict=True):
-        at = np.searchsorted(twice, mine)
-        at[at == len(twice)] = 0
-        rows.append((bucket, chunk, np.packbits(twice[at] == mine if len(twice) else np.zeros(len(mine), bool)).tobytes()))
-    return _table(rows, *_BLOBS)
+def _find_repeated(hot: int):
+    """To each chunk, two bits for each of its hashes: other chunks have it too; it has over `hot` contexts in all."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        bucket = table.column("key")[0].as_py()
+        lists = [unpack_keys(b, np.uint32) for b in table.column("blob").to_pylist()]
+        every = np.concatenate([x[0] for x in lists])
+        keys, which, n = np.unique(every, return_inverse=True, return_counts=True)
+        contexts = np.bincount(which, np.concatenate([x[1] for x in lists]), len(keys))
+        rows = []
+        for chunk, (mine, _) in zip(table.column("chunk").to_pylist(), lists, strict=True):
+            at = np.searchsorted(keys, mine)
+            rows.append((bucket, chunk, np.packbits(np.concatenate([n[at] > 1, contexts[at] > hot])).tobytes()))
+        return _table(rows, *_BLOBS)
+
+    return fn
 
 
 def _send_contexts(buckets: int):
@@ -228,42 +320,61 @@ def _send_contexts(buckets: int):
         number, chunk = docs.column("chunk")[0].as_py(), Chunk(docs)
         place, h, least, most = chunk.anchors()
         keys, which, n = np.unique(h, return_inverse=True, return_counts=True)
-        repeated = n > 1
+        repeated, hot = n > 1, np.zeros(len(keys), bool)
         bits = dict(zip(told.column("key").to_pylist(), told.column("blob").to_pylist(), strict=True))
         for b, lo, hi in _split(keys, buckets):
-            repeated[lo:hi] |= np.unpackbits(np.frombuffer(bits[b], np.uint8), count=hi - lo).view(bool)
-        mine = repeated[which]
+            mine = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=2 * (hi - lo)).view(bool)
+            repeated[lo:hi] |= mine[: hi - lo]
+            hot[lo:hi] = mine[hi - lo :]
+        rows = []
+        is_hot = hot[which]
+        if is_hot.any():
+            rows += _hot_windows(chunk, number, place[is_hot], least[is_hot], most[is_hot], buckets)
+        mine = repeated[which] & ~is_hot
         place, h, least, most = place[mine], h[mine], least[mine], most[mine]
-        if not len(place):
-            return _table([], *_KINDS)
-        around = chunk.contexts(place, most)
         # the first of equal contexts goes out; later ones repeat it, whatever it turns out to be
-        padded = np.zeros((len(place), 176), np.uint8)
-        padded[:, : around.shape[1]] = around
-        print_ = h + least.astype(np.uint64) * U(977) + most.astype(np.uint64) * U(131071)
-        for c in padded.view(np.uint64).T:
-            print_ = mixed(print_ * U(31) + c)
-        _, first, of = np.unique(print_, return_index=True, return_inverse=True)
+        _, first, of = np.unique(chunk.context_prints(place, h, least, most), return_index=True, return_inverse=True)
         first = first[of]
-        same = (first != np.arange(len(place))) & (around == around[first]).all(axis=1) & (least == least[first]) & (most == most[first])
-        rows = [(1, number, number, pack((place - most)[same], (place - least)[same]))] if same.any() else []
+        same = (first != np.arange(len(place))) & (least == least[first]) & (most == most[first])
+        for lo in range(0, len(place), PIECE):
+            at = np.flatnonzero(same[lo : lo + PIECE]) + lo
+            same[at] = (chunk.contexts(place[at], most[at]) == chunk.contexts(place[first[at]], most[at])).all(axis=1)
+        if same.any():
+            rows.append((_SPANS, number, number, pack((place - most)[same], (place - least)[same])))
         send = np.flatnonzero(~same)
         send = send[np.argsort(h[send], kind="stable")]
-        doc = np.searchsorted(chunk.ends, place, "right")
-        ids = np.array([_LAST if x is None else x for x in chunk.ids], np.int64)
         for b, lo, hi in _split(h[send], buckets):
             s = send[lo:hi]
-            meta = pack(ids[doc[s]], doc[s].astype(np.int32), place[s] - chunk.starts[doc[s]], least[s].astype(np.uint8), most[s].astype(np.uint8))
-            rows.append((0, b, number, len(meta).to_bytes(4, "big") + meta + zlib.compress(around[s].tobytes(), 1)))
+            doc = np.searchsorted(chunk.ends, place[s], "right")
+            meta = pack_keys(h[s], chunk.late[doc], chunk.key[doc], doc.astype(np.int32), place[s] - chunk.starts[doc], least[s].astype(np.uint8), most[s].astype(np.uint8))
+            rows.append((_CONTEXTS, b, number, len(meta).to_bytes(4, "big") + meta + zlib.compress(chunk.contexts(place[s], most[s]).tobytes(), 1)))
         return _table(rows, *_KINDS)
 
     return fn
 
 
-def repeated_windows(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray, least: np.ndarray, most: np.ndarray, around: np.ndarray) -> np.ndarray:
+def _hot_windows(chunk: Chunk, number: int, place: np.ndarray, least: np.ndarray, most: np.ndarray, buckets: int) -> list[tuple]:
+    """The windows of anchors with too many contexts to be sorted together: each by a hash of its own,
+    so that they spread over all buckets. A chunk sends each distinct window once."""
+    n = most - least + 1
+    start = np.repeat(place - most, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    a, b = chunk.window_prints(start)
+    order = np.lexsort((start, b, a))
+    a, b, start = a[order], b[order], start[order]
+    again = np.append(False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]))
+    rows = [(_SPANS, number, number, pack(start[again], start[again]))] if again.any() else []
+    a, b, start = a[~again], b[~again], start[~again]
+    doc = np.searchsorted(chunk.ends, start, "right")
+    for bucket, lo, hi in _split(a, buckets):
+        d = doc[lo:hi]
+        rows.append((_WINDOWS, bucket, number, pack_keys(a[lo:hi], b[lo:hi], chunk.late[d], chunk.key[d], d.astype(np.int32), start[lo:hi] - chunk.starts[d])))
+    return rows
+
+
+def repeated_windows(least: np.ndarray, most: np.ndarray, around: np.ndarray) -> np.ndarray:
     """n x OFFSETS: whether the window that has the anchor at this offset repeats an earlier one.
     Rows are in order of document and start."""
-    n = len(ids)
+    n = len(least)
     by_right, right = deep_shallow_sort(around[:, OFFSETS - 1 :])
     by_left, left = deep_shallow_sort(np.ascontiguousarray(around[:, OFFSETS - 2 :: -1]))
     out = np.zeros((n, OFFSETS), bool)
@@ -283,50 +394,80 @@ def repeated_windows(ids: np.ndarray, docs: np.ndarray, starts: np.ndarray, leas
 
 
 def _find_windows(table: pa.Table) -> pa.Table:
+    """Sorts a bucket's contexts, some anchors at a time, and tells chunks the runs of repeated windows."""
     metas, around, chunks = [], [], []
     for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist(), strict=True):
         size = int.from_bytes(blob[:4], "big")
-        meta = unpack(blob[4 : 4 + size], *_META)
+        meta = unpack_keys(blob[4 : 4 + size], *_META)
         metas.append(meta)
         around.append(np.frombuffer(zlib.decompress(blob[4 + size :]), np.uint8).reshape(len(meta[0]), OFFSETS - 1 + SPAN))
-        chunks.append(np.full(len(meta[0]), chunk))
-    ids, docs, starts, least, most = (np.concatenate(x) for x in zip(*metas, strict=True))
+        chunks.append(np.full(len(meta[0]), chunk, np.int32))
+    h, late, key, docs, starts, least, most = (np.concatenate(x) for x in zip(*metas, strict=True))
     around, chunks = np.concatenate(around), np.concatenate(chunks)
-    order = np.lexsort((starts, docs, ids))
-    ids, docs, starts, least, most, around, chunks = (x[order] for x in (ids, docs, starts, least, most, around, chunks))
-    again = repeated_windows(ids, docs, starts, least, most, around)
-    # runs of offsets; the window at offset i starts i before the anchor
-    edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, lo = np.nonzero(edge == 1)
-    _, hi = np.nonzero(edge == -1)
-    out = []
-    for chunk in np.unique(chunks[row]):
-        mine = chunks[row] == chunk
-        r = row[mine]
-        out.append((0, int(chunk), pack(docs[r], starts[r] - hi[mine] + 1, starts[r] - lo[mine])))
-    return _table(out, *_BLOBS)
+    order = np.lexsort((starts, docs, key, late, h))
+    ends = np.flatnonzero(np.append(np.diff(h[order]) != 0, True)) + 1  # of each anchor's contexts
+    spans, lo = [], 0
+    while lo < len(order):
+        hi = int(ends[min(np.searchsorted(ends, lo + PIECE, "right"), len(ends) - 1)])
+        some, lo = order[lo:hi], hi
+        some = some[np.lexsort((starts[some], docs[some], key[some], late[some]))]
+        again = repeated_windows(least[some], most[some], around[some])
+        # runs of offsets; the window at offset i starts i before the anchor
+        edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, first = np.nonzero(edge == 1)
+        _, last = np.nonzero(edge == -1)
+        row = some[row]
+        spans.append((chunks[row], docs[row], starts[row] - last + 1, starts[row] - first))
+    return _to_chunks(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+
+
+def _find_hot(table: pa.Table) -> pa.Table:
+    """Of each distinct window of hot anchors all but the first are repeats."""
+    parts = [unpack_keys(x, *_PRINTS) for x in table.column("blob").to_pylist()]
+    chunks = np.repeat(np.array(table.column("chunk").to_pylist(), np.int32), [len(x[0]) for x in parts])
+    a, b, late, key, docs, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((starts, docs, key, late, b, a))
+    again = order[1:][(np.diff(a[order]) == 0) & (np.diff(b[order]) == 0)]
+    return _to_chunks(chunks[again], docs[again], starts[again], starts[again])
+
+
+def _to_chunks(chunks: np.ndarray, docs: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
+    order = np.argsort(chunks, kind="stable")
+    found, at = np.unique(chunks[order], return_index=True)
+    rows = [(0, int(c), pack(docs[s], first[s], last[s])) for c, s in zip(found, np.split(order, at[1:]), strict=False) if len(s)]
+    return _table(rows, *_BLOBS)
 
 
 _RESULT = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
+def _covered(spans: list[list[np.ndarray]], n: int) -> np.ndarray:
+    """The bytes of n that some window from a span's first to its last start covers."""
+    edge = np.zeros(n + 1, np.int8)
+    if spans:
+        lo, hi = (np.concatenate(x) for x in zip(*spans, strict=True))
+        order = np.argsort(lo, kind="stable")
+        lo, end = lo[order], np.maximum.accumulate(hi[order] + SPAN)
+        new = np.append(True, lo[1:] > end[:-1])
+        edge[lo[new]] = 1
+        edge[end[np.append(new[1:], True)]] = -1
+    return np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+
+
 def _cut(keep_bytes: bool):
     def fn(docs: pa.Table, told: pa.Table) -> pa.Table:
         names = [*_RESULT][: 6 if keep_bytes else 5]
         types = [_RESULT[x] for x in names]
         if not docs.num_rows:
             return _table([], names, types)
-        chunk = Chunk(docs)
-        cover = np.zeros(len(chunk.data) + 1, np.int64)
+        chunk, spans = Chunk(docs), []
         for kind, blob in zip(told.column("kind").to_pylist(), told.column("blob").to_pylist(), strict=True):
-            if kind:
-                lo, hi = unpack(blob, np.int64, np.int64)
+            if kind == _SPANS:
+                spans.append(unpack(blob, np.int64, np.int64))
             else:
                 doc, lo, hi = unpack(blob, np.int32, np.int64, np.int64)
-                lo, hi = lo + chunk.starts[doc], hi + chunk.starts[doc]
-            np.add.at(cover, lo, 1)
-            np.add.at(cover, hi + SPAN, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+                spans.append([lo + chunk.starts[doc], hi + chunk.starts[doc]])
+        gone = _covered(spans, len(chunk.data))
         rows = []
         for i, (a, b) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)):
             mine = gone[a:b]
@@ -339,15 +480,17 @@ def _cut(keep_bytes: bool):
     return fn
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
     table, n = chunked(spark, docs, chunk_bytes)
     by_chunk = table.groupBy("chunk")
     sent = stored(spark, by_chunk.applyInArrow(_send_hashes(n), _BLOBS_DDL), "hashes")
-    told = stored(spark, sent.groupBy("key").applyInArrow(_find_repeated, _BLOBS_DDL), "repeated")
-    found = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_contexts(n), f"kind int, {_BLOBS_DDL}")
-    found = stored(spark, found, "contexts")
-    windows = found.filter("kind = 0").groupBy("key").applyInArrow(_find_windows, _BLOBS_DDL)
-    spans = stored(spark, windows.selectExpr("0 as kind", "chunk", "blob").unionByName(found.filter("kind = 1").select("kind", "chunk", "blob")), "windows")
+    told = stored(spark, sent.groupBy("key").applyInArrow(_find_repeated(hot), _BLOBS_DDL), "repeated")
+    found = stored(spark, by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_contexts(n), _KINDS_DDL), "contexts")
+    windows = found.filter(F.col("kind") == _CONTEXTS).groupBy("key").applyInArrow(_find_windows, _BLOBS_DDL)
+    windows = windows.unionByName(found.filter(F.col("kind") == _WINDOWS).groupBy("key").applyInArrow(_find_hot, _BLOBS_DDL))
+    known = found.filter(F.col("kind") == _SPANS).select("kind", "chunk", "blob")
+    spans = stored(spark, windows.select(F.lit(_CONTEXTS).alias("kind"), "chunk", "blob").unionByName(known), "windows")
+    dropped(spark, sent, told, found)
     ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_bytes
     return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_cut(keep_bytes), ddl)
