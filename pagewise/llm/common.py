@@ -32,6 +32,41 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), GAP), lambda w: w != "")
 
 
+def set_aside(df: DataFrame, added) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns that are named like one of `added` (in any case) renamed to `<name>_given`, and
+    the new names by the old ones."""
+    taken, names = {c.lower() for c in (*df.columns, *added)}, {}
+    for c in df.columns:
+        if c.lower() in {a.lower() for a in added}:
+            names[c] = f"{c}_given"
+            while names[c].lower() in taken:
+                names[c] += "_"
+            taken.add(names[c].lower())
+    return df.withColumnsRenamed(names), names
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, or one like it that df has no column of."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its literal name."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def sampled(docs: DataFrame, n: int) -> DataFrame:
+    """n rows (doc_id, text) at most, spread by a hash: the same ones in every run.
+
+    Rows are screened by their hash first, so that about 2 n of them are sorted, however many there are.
+    """
+    of = F.xxhash64("doc_id", "text")
+    share = max(1, docs.count() // (2 * n))
+    return docs.select("doc_id", "text").filter(F.pmod(of, F.lit(share)) == 0).orderBy(of, "doc_id", "text").limit(n)
+
+
 # ---------------------------------------------------------------- scratch tables
 
 
