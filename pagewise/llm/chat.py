@@ -2,18 +2,22 @@ r"""Chat formatting by schema fingerprints.
 
 A record is JSON. Its fingerprint is a hash of its nested field paths (`messages[].role`, ...),
 which selects a declarative mapping that says where turns, roles and texts are; a record with
-fields beyond a mapping's goes to the mapping with the most paths that it has all of. Mappings turn
-prompt, instruction and message layouts into canonical turns (role, text).
+fields beyond a mapping's goes to the mapping with the most paths that it has all of, and what the
+mapping doesn't use comes back as JSON in `rest`. Mappings turn prompt, instruction and message
+layouts into canonical turns (role, text). Names in paths have `.`, `[`, `]` and `\` escaped, so a
+dotted name isn't taken for a nested one.
 
 The template writes each turn as `<turn ROLE>\n` + text + `\n</turn>\n`. In texts, backslashes,
 `<turn`, `</turn` and `###` get a backslash before them, so no text can start or end a turn; in
 roles also `<`, `>`, line feeds and carriage returns. Reading back is exact. The loss mask is
 spans of code points, start and end, over the escaped texts of assistant turns.
 
-Edge cases: null texts and roles are empty; a record that isn't an object, or that no mapping
-fits, gives no output but an error, in its own row; turns that are no objects are errors too; a
-conversation without turns is formatted as an empty string; an empty table gives an empty result;
-other columns pass through.
+Edge cases: null texts and roles are empty; a record that isn't an object, that no mapping fits,
+that is nested too deeply or holds half of a surrogate pair gives no output but an error, in its own
+row, and null digests; turns that are no objects, or lack their role or text, are errors too; a
+conversation without turns is formatted as an empty string; rows without a conv_id are one
+conversation; an empty table gives an empty result; other columns pass through, those named like an
+added one with `_given` after their name.
 """
 
 from __future__ import annotations
@@ -28,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 OTHER_ROLES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """paths: the field paths it needs. each: the list that holds turns, with role and text fields;
-    or fixed: (role, fields to be joined by a blank line) of each turn."""
+    """paths: the field paths it needs. fixed: (role, fields to be joined by a blank line) of each turn;
+    each: the list that holds further turns, with role and text fields."""
 
     name: str
     paths: frozenset[str]
@@ -45,8 +51,9 @@ class Mapping:
     roles: tuple[tuple[str, str], ...] = ()  # names that the layout has for the canonical roles
 
 
-def _list(name: str, each: str, role: str, text: str, roles: tuple[tuple[str, str], ...] = ()) -> Mapping:
-    return Mapping(name, frozenset({f"{each}[].{role}", f"{each}[].{text}"}), each, role, text, roles=roles)
+def _list(name: str, each: str, role: str, text: str, roles: tuple[tuple[str, str], ...] = (), before: tuple[str, ...] = ()) -> Mapping:
+    """before: fields that are turns of their own name ahead of the list."""
+    return Mapping(name, frozenset({f"{each}[].{role}", f"{each}[].{text}", *before}), each, role, text, tuple((f, (f,)) for f in before), roles)
 
 
 def _fixed(name: str, *turns: tuple[str, tuple[str, ...]]) -> Mapping:
@@ -55,7 +62,9 @@ def _fixed(name: str, *turns: tuple[str, tuple[str, ...]]) -> Mapping:
 
 MAPPINGS = (
     _list("messages", "messages", "role", "content"),
+    _list("system_messages", "messages", "role", "content", before=("system",)),
     _list("conversations", "conversations", "from", "value", OTHER_ROLES),
+    _list("system_conversations", "conversations", "from", "value", OTHER_ROLES, ("system",)),
     _list("turns", "turns", "speaker", "text", OTHER_ROLES),
     _list("dialog", "dialog", "role", "text"),
     _fixed("instruction_input", ("user", ("instruction", "input")), ("assistant", ("output",))),
@@ -68,36 +77,62 @@ MAPPINGS = (
 )
 
 
+_IN_NAMES = re.compile(r"[\\.\[\]]")
+
+
 def field_paths(value, at: str = "") -> set[str]:
     """Paths of the leaves; an empty list or object is a leaf."""
     if isinstance(value, dict) and value:
-        return set().union(*[field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()])
+        names = {k: _IN_NAMES.sub(lambda m: "\\" + m[0], k) for k in value}
+        return set().union(*[field_paths(v, f"{at}.{names[k]}" if at else names[k]) for k, v in value.items()])
     if isinstance(value, list) and value:
         return set().union(*[field_paths(v, f"{at}[]") for v in value])
     return {at}
 
 
 def fingerprint(paths: set[str] | frozenset[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 _BY_PRINT = {fingerprint(m.paths): m for m in MAPPINGS}
 
 
+def _fits(mapping: Mapping, record: dict, paths: set[str]) -> bool:
+    lacks = mapping.paths - paths
+    if mapping.each and record.get(mapping.each) == []:  # a list without turns has no paths in it
+        lacks = {x for x in lacks if not x.startswith(f"{mapping.each}[].")}
+    return not lacks
+
+
 def mapping_for(record: dict) -> Mapping | None:
     paths = field_paths(record)
     if found := _BY_PRINT.get(fingerprint(paths)):
         return found
-    fits = [m for m in MAPPINGS if m.paths <= paths or (m.each and record.get(m.each) == [])]
-    return max(fits, key=lambda m: len(m.paths), default=None)
+    return max((m for m in MAPPINGS if _fits(m, record, paths)), key=lambda m: len(m.paths), default=None)
 
 
-def canonical(record, mapping: Mapping) -> list[tuple[str, str]]:
+def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
+    """The turns; raises ValueError where one isn't as the mapping says."""
     say = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    turns = [(role, "\n\n".join(x for f in fields if (x := say(record.get(f))))) for role, fields in mapping.fixed]
+    if mapping.each:
+        names, listed = dict(mapping.roles), record[mapping.each]
+        if not (isinstance(listed, list) and all(isinstance(t, dict) for t in listed)):
+            raise ValueError("turns are no objects")
+        if not all(mapping.role in t and mapping.text in t for t in listed):
+            raise ValueError("a turn lacks its role or text")
+        turns += [(names.get(r := say(t[mapping.role]), r), say(t[mapping.text])) for t in listed]
+    return turns
+
+
+def unused(record: dict, mapping: Mapping) -> dict:
+    """What a mapping leaves of a record; of its turns, in their order, if any has more than role and text."""
+    used = {f for _, fields in mapping.fixed for f in fields}
+    out = {k: v for k, v in record.items() if k not in used and k != mapping.each}
     if mapping.each:
-        names = dict(mapping.roles)
-        return [(names.get(r := say(t.get(mapping.role)), r), say(t.get(mapping.text))) for t in record[mapping.each]]
-    return [(role, "\n\n".join(x for f in fields if (x := say(record.get(f))))) for role, fields in mapping.fixed]
+        more = [{k: v for k, v in t.items() if k not in (mapping.role, mapping.text)} for t in record[mapping.each]]
+        out |= {mapping.each: more} if any(more) else {}
+    return out
 
 
 _ESCAPES = re.compile(r"\\|</?turn|###")
@@ -142,30 +177,39 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-_ADDED = {"fingerprint": pa.string(), "mapping": pa.string(), "formatted": pa.string(), "loss_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "error": pa.string()}
-_ADDED_DDL = "fingerprint string, mapping string, formatted string, loss_spans array<struct<start: bigint, end: bigint>>, error string"
+_ADDED = {"fingerprint": pa.string(), "mapping": pa.string(), "formatted": pa.string(), "loss_spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "rest": pa.string(), "error": pa.string()}
+_ADDED_DDL = "fingerprint string, mapping string, formatted string, loss_spans array<struct<start: bigint, end: bigint>>, rest string, error string"
 
 
 def _format_one(raw: str | None) -> tuple:
+    mark = name = None
     try:
         record = json.loads(raw or "null")
-    except ValueError:
-        return None, None, None, None, "not JSON"
-    if not isinstance(record, dict):
-        return None, None, None, None, "not an object"
-    mark = fingerprint(field_paths(record))
-    mapping = mapping_for(record)
-    if not mapping:
-        return mark, None, None, None, "no mapping"
-    if mapping.each and not (isinstance(record[mapping.each], list) and all(isinstance(t, dict) for t in record[mapping.each])):
-        return mark, mapping.name, None, None, "turns are no objects"
-    text, mask = format_turns(canonical(record, mapping))
-    return mark, mapping.name, text, [{"start": a, "end": b} for a, b in mask], None
+        if not isinstance(record, dict):
+            return None, None, None, None, None, "not an object"
+        mark = fingerprint(field_paths(record))
+        mapping = mapping_for(record)
+        if not mapping:
+            return mark, None, None, None, None, "no mapping"
+        name = mapping.name
+        text, mask = format_turns(canonical(record, mapping))
+        rest = unused(record, mapping)
+        text.encode()
+        return mark, name, text, [{"start": a, "end": b} for a, b in mask], json.dumps(rest) if rest else None, None
+    except RecursionError:
+        return mark, name, None, None, None, "nested too deeply"
+    except UnicodeEncodeError:
+        return mark, name, None, None, None, "half of a surrogate pair"
+    except json.JSONDecodeError:
+        return None, None, None, None, None, "not JSON"
+    except ValueError as e:  # of a turn, or of a number beyond what Python reads
+        return mark, name, None, None, None, str(e) if name else "not JSON"
 
 
 def format_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """records, with JSON in `column`, plus fingerprint, mapping, formatted, loss_spans and error."""
-    kept = records.drop(*_ADDED)
+    """records, with JSON in `column`, plus fingerprint, mapping, formatted, loss_spans, rest and error."""
+    kept, names = set_aside(records, _ADDED)
+    column = names.get(column, column)
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [_ADDED_DDL])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +233,16 @@ _DIGEST = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.stri
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted conversations finds: turns and text under the loss mask."""
+    """What a reader of the formatted conversations finds: turns and text under the loss mask; nulls
+    for a record with an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for conv, text, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if text is None:
+                    out.append((conv, None, None, None, None, None))
+                    continue
                 turns = read_back(text)
                 loss = "".join(unescaped(text[s["start"] : s["end"]]) for s in spans)
                 digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
