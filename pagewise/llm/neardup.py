@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, byte_texts, dropped, lower_word_hashes, shingle_set, stored
+from .common import U, WordHashes, byte_texts, column, dropped, lower_word_hashes, shingle_set, stored, unused_name
 
 TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 2, 2, 4
 POSITIONS = TREES * DEPTH * PER_LEVEL
@@ -53,12 +53,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         n, cls, sigs = [], [], []
-        for raw in byte_texts(batch.column(1)):
+        for raw in byte_texts(batch.column(2)):
             s = shingle_set(lower_word_hashes(raw or b"", hashes))
             n.append(len(s))
             cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(minhash(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "cls", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "digest", "n_shingles", "cls", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +158,17 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
     labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("cls"), F.least("a", "least").alias("comp"))
     labels = stored(spark, labels.coalesce(tasks), "labels")
     while True:
+        before = labels
         step = both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("least"))
-        step = labels.join(step.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
+        step = labels.select("cls", "comp").join(step.withColumnRenamed("a", "cls"), "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "least").alias("comp"))
         step = stored(spark, step.coalesce(tasks), "labels")
         jump = step.select(F.col("cls").alias("comp"), F.col("comp").alias("to"))
         new = stored(spark, step.join(jump, "comp").select("cls", "was", F.col("to").alias("comp")).coalesce(tasks), "labels")
-        changed = new.filter(F.col("was") != F.col("comp")).limit(1).count()
-        labels = new.select("cls", "comp")
-        if not changed:
-            return labels
+        dropped(spark, before, step)
+        labels = new
+        if not new.filter(F.col("was") != F.col("comp")).limit(1).count():
+            dropped(spark, both)
+            return new.select("cls", "comp")
 
 
 def _paths(level: int, path, sig) -> object:
@@ -256,28 +258,42 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, thres
     return connected_components(spark, links.unionByName(more))
 
 
+def _judged(spark: SparkSession, docs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, cls, comp, component_id) of docs (doc_id, digest, text), by row."""
+    rows = stored(spark, docs.mapInArrow(_profiles, "doc_id bigint, digest string, n_shingles bigint, cls binary, sig array<int>"), "profiles")
+    classes = stored(spark, rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    labels = link_classes(spark, docs.drop("digest"), classes, threshold)
+    of = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    ids = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    return rows.drop("sig").join(of.join(ids, "comp").select("cls", "comp", "component_id"), "cls", "left")
+
+
 def components(spark: SparkSession, docs: DataFrame, *, threshold: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     Links hold where 100 * intersection >= threshold * union of the sets of distinct 5-word shingles.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(spark, docs.mapInArrow(_profiles, "doc_id bigint, n_shingles bigint, cls binary, sig array<int>"), "profiles")
-    classes = stored(spark, rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    labels = link_classes(spark, docs, classes, threshold)
-    of = classes.select("cls", "rep").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ids = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of = of.join(ids, "comp").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(of, "cls", "left")
+    out = _judged(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("digest"), "text"), threshold)
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, *, threshold: int = 80) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with its own columns. Rows
-    that repeat its doc_id leave one; rows without a doc_id stay."""
-    verdict = components(spark, docs, threshold=threshold)
-    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*cols)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null").select(*cols))
+    """One document of each component, with its own columns: the one with the least doc_id (null last),
+    and of those with one doc_id the one with the least digest of its text.
+
+    Rows are told apart by doc_id and text, so different texts under one doc_id are judged apart; of
+    rows equal in both one stays. Texts without words are linked with nothing and all stay.
+    """
+    key = unused_name(docs, "_row")
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.md5(F.encode("text", "UTF-8")))
+    judged = _judged(spark, docs.filter(has_words).select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), "text"), threshold)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    kept = stored(spark, judged.groupBy("comp").agg(best.alias("best"), F.count("*").alias("n")).select(F.col("best.digest").alias(key), "n"), "kept")
+    worded = docs.filter(has_words).withColumn(key, digest)
+    if kept.filter("n > 1").limit(1).count():  # else no row can repeat another one
+        worded = worded.dropDuplicates([key])
+    worded = worded.join(kept.select(key), key, "left_semi")
+    cols = [column(c) for c in docs.columns]
+    return worded.select(*cols).unionByName(docs.filter(~has_words).select(*cols))
