@@ -22,8 +22,9 @@ of its own lines that it has to drop, so no group is ever gathered.
 Edge cases: null and empty texts have no lines to drop and stay; rows of one doc_id are one
 document, those without one another, which comes last; a repeated line within one document isn't
 across documents and stays; documents of which nothing is left are kept as empty
-texts here (`deduplicated` drops them if asked); extra columns stay; an empty table gives an
-empty result.
+texts here (`deduplicated` drops them); extra columns stay, those named n_lines or n_dropped with
+`_given` after their name (`deduplicated` returns all as they were); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import column, set_aside, stored, unused_name
 
 SHORT, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
 #: Different lines that show a field of a line that isn't long to be variable.
@@ -101,11 +102,13 @@ def lines_of(text: Column) -> Column:
 
 
 def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
-    """(id, text_hash, gone): the places of the lines that a document has to drop."""
-    keys = line_keys(F.col("text"))
-    per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), keys.alias("keys"))
-    lines = stored(spark, per_doc, "templates").select("id", "text_hash", F.posexplode("keys").alias("place", "line_keys")).filter(F.size("line_keys") > 0)
-    rows = lines.select("id", "text_hash", "place", F.explode("line_keys").alias("key"))
+    """(id, text_hash, gone, most): the places of the lines that a document has to drop, and the
+    characters of its recurring lines that one document has first, the most of any."""
+    sizes = F.transform(lines_of(F.col("text")), lambda x: F.length(x))
+    per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("keys"), sizes.alias("sizes"))
+    lines = stored(spark, per_doc, "templates").select("id", "text_hash", "sizes", F.posexplode("keys").alias("place", "line_keys")).filter(F.size("line_keys") > 0)
+    lines = lines.withColumn("size", F.get("sizes", F.col("place"))).drop("sizes")
+    rows = lines.select("id", "text_hash", "place", "size", F.explode("line_keys").alias("key"))
     of = lambda kind: F.col("key").bitwiseAND(F.lit(3)) == kind
     several = [F.count_distinct("id").alias("n")] if min_docs > 2 else []
     # a template recurs across documents if the first and the last that have it differ
@@ -115,33 +118,46 @@ def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
     wholes = lines.select("id", F.element_at("line_keys", 1).alias("whole"), F.explode("line_keys").alias("key")).filter(of(ONE_OUT))
     varied = wholes.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("whole").alias("lines"), *several).filter(recurs & (F.col("lines") >= VALUES))
     found = found.select("key", "first").unionByName(short.select("key", "first")).unionByName(varied.select("key", "first"))
-    return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
+    # dealt by document once; what follows groups by more than that
+    hits = rows.join(found, "key").select("id", "text_hash", "place", "size", "first").repartition("id", "text_hash")
+    hits = hits.groupBy("id", "text_hash", "place").agg(F.min("first").alias("first"), F.max("size").alias("size"))
+    by_first = hits.groupBy("id", "text_hash", "first").agg(F.sum("size").alias("size"), F.collect_list(F.when(F.col("id") > F.col("first"), F.col("place"))).alias("gone"))
+    return by_first.groupBy("id", "text_hash").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.max("size").alias("most"))
 
 
 def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST).cast("long"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2) -> DataFrame:
-    """docs with text cut, and n_lines and n_dropped as long (0 for a null text)."""
-    docs = docs.drop("n_lines", "n_dropped")
-    gone = drops(spark, docs, min_docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
-    out = docs.join(gone, (_id() == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    lines = lines_of(F.col("text"))
-    plain = F.filter(lines, lambda x, place: ~F.array_contains(F.col("_gone"), place))
-    out = out.withColumn("_plain", F.when(F.col("_gone").isNotNull(), plain))
-    cut = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_plain", "\n"))
+def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2, spare_copies: bool = False) -> DataFrame:
+    """docs with text cut, and n_lines and n_dropped as long (0 for a null text).
+
+    spare_copies: a document of which more than half, in characters, are recurring lines that one and
+    the same document has first is a copy of it, or that document itself, and stays whole. Cut, such
+    copies would leave scraps that near-dedup can't match any more.
+    """
+    docs, _ = set_aside(docs, ("n_lines", "n_dropped"))
+    id_, hash_, gone_, most_, kept_ = (unused_name(docs, x) for x in ("_id", "_hash", "_gone", "_most", "_kept"))
+    gone = drops(spark, docs, min_docs).select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("gone").alias(gone_), F.col("most").alias(most_))
+    out = docs.join(gone, (_id() == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
+    cut = F.size(gone_) > 0
+    if spare_copies:
+        cut = cut & (2 * F.col(most_) <= F.length("text"))
+    lines = F.filter(lines_of(F.col("text")), lambda x, place: ~F.array_contains(F.col(gone_), place))
+    out = out.withColumn(kept_, F.when(cut, lines))
+    text = F.when(F.col(kept_).isNull(), F.col("text")).otherwise(F.array_join(kept_, "\n"))
     before = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = out.withColumns({"_cut": cut, "n_lines": before, "_left": F.when(F.col("_gone").isNull(), before).otherwise(F.size("_plain")).cast("long")})
-    cols = [F.col("_cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, "n_lines", (F.col("n_lines") - F.col("_left")).alias("n_dropped"))
+    left = F.when(F.col(kept_).isNull(), before).otherwise(F.size(kept_)).cast("long")
+    cols = [text.alias(c) if c == "text" else column(c) for c in docs.columns]
+    return out.select(*cols, before.alias("n_lines"), (before - left).alias("n_dropped"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2, spare_copies: bool = False) -> DataFrame:
     """docs with text cut, without the documents of which no word is left though some were dropped;
     n_chars, where there is one, follows the text."""
-    out = dedup_lines(spark, docs, min_docs=min_docs)
+    _, names = set_aside(docs, ("n_lines", "n_dropped"))
+    out = dedup_lines(spark, docs, min_docs=min_docs, spare_copies=spare_copies)
     out = out.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*[column(names.get(c, c)).alias(c) for c in docs.columns])
