@@ -1,13 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a predicate on one text that says whether to reject it. On a bounded sample each
-rule's cost (seconds a text) and selectivity (part rejected) are estimated, and rules run in order
-of rejection per cost; a text leaves at the first rule that rejects it. A text is kept when no
-rule rejects it, so the verdict doesn't depend on the order, nor on the sample.
+Every rule is a predicate on one text that says whether to reject it. On a bounded sample the next
+rule is chosen again and again: of the texts that the rules before it leave, and with the features
+that these have computed, each rule's cost (seconds a text) and selectivity (part rejected) are
+estimated, and the one with the most rejection per cost goes next. A text leaves at the first rule
+that rejects it. A text is kept when no rule rejects it, so the verdict doesn't depend on the order,
+nor on the sample.
 
 Edge cases: a null or empty text has no words and is rejected by the word count; features of a
-text without words or lines are 0; other columns pass through untouched; an empty table gives an
-empty result and keeps the declared order.
+text without words or lines are 0; other columns pass through untouched, those named like an added
+one with `_given` after their name; an empty table gives an empty result and keeps the declared
+order.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_texts, gram_hashes
+from .common import WordHashes, byte_texts, column, gram_hashes, sampled, set_aside
 
 #: Texts at most of which costs and selectivities are estimated, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 256, 20_000
@@ -36,8 +39,9 @@ class Features:
 
     __slots__ = ("_hashes", "_known", "raw")
 
-    def __init__(self, raw: bytes | None, hashes: WordHashes):
-        self.raw, self._hashes, self._known = raw or b"", hashes, {}
+    def __init__(self, raw: bytes | None, hashes: WordHashes, known: dict | None = None):
+        """known: features that have been computed already."""
+        self.raw, self._hashes, self._known = raw or b"", hashes, {} if known is None else known
 
     def __getattr__(self, name: str):
         known = self._known
@@ -116,25 +120,28 @@ class Estimate:
 
 
 def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Estimate]:
-    """Cost and selectivity of each rule over the sample, in order of rejection per cost.
-
-    Each rule meets fresh features, so a cost includes all that the rule needs by itself.
-    """
-    hashes, found = WordHashes(), []
-    raws = [t.encode() if t else b"" for t in texts]
-    for rule in rules:
-        began, n = time.perf_counter(), 0
-        for raw in raws:
-            n += bool(rule.rejects(Features(raw, hashes)))
-        spent = time.perf_counter() - began
-        # one more rejection and text than seen, so that a rule that rejects nothing still ranks by cost
-        found.append(Estimate(rule, spent / max(1, len(raws)), (n + 1) / (len(raws) + 2)))
-    return sorted(found, key=lambda e: -e.rank)
+    """The cascade: cost and selectivity of each rule where it stands, from first to last."""
+    hashes, found, open_ = WordHashes(), [], list(rules)
+    left = [(t.encode() if t else b"", {}) for t in texts]
+    while open_:
+        tried = []
+        for rule in open_:
+            at = [Features(raw, hashes, dict(known)) for raw, known in left]
+            began = time.perf_counter()
+            verdicts = [bool(rule.rejects(f)) for f in at]
+            spent = time.perf_counter() - began
+            # one more rejection and text than seen, so that a rule that rejects nothing still ranks by cost
+            tried.append((Estimate(rule, spent / max(1, len(left)), (sum(verdicts) + 1) / (len(left) + 2)), verdicts, at))
+        best, verdicts, at = max(tried, key=lambda x: x[0].rank)
+        found.append(best)
+        open_.remove(best.rule)
+        left = [(f.raw, f._known) for f, gone in zip(at, verdicts, strict=True) if not gone]
+    return found
 
 
 def plan(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Estimate]:
-    """The cascade's order, from a sample of SAMPLE_ROWS texts at most, SAMPLE_CHARS of each."""
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect()
+    """The cascade, from a sample of SAMPLE_ROWS texts at most, SAMPLE_CHARS of each."""
+    rows = sampled(docs, SAMPLE_ROWS).select(F.substring("text", 1, SAMPLE_CHARS)).collect()
     return estimate([r[0] for r in rows], rules)
 
 
@@ -144,10 +151,8 @@ def judge(spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RUL
     The cascade stops at the first rejection; measures are computed for every text, as asked for.
     """
     order = [e.rule for e in plan(spark, docs, rules)]
-    have = docs.columns
     added = ["kept", *measures]
-    clash = [c for c in have if c.lower() in {a.lower() for a in added}]
-    docs = docs.drop(*clash)
+    docs, _ = set_aside(docs, added)
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept boolean", *[f"{m} bigint" for m in measures]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +171,5 @@ def judge(spark: SparkSession, docs: DataFrame, *, rules: tuple[Rule, ...] = RUL
 
 def filtered(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return judge(spark, docs, rules=rules).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "kept"])
+    _, names = set_aside(docs, ["kept"])
+    return judge(spark, docs, rules=rules).filter("kept").select(*[column(names.get(c, c)).alias(c) for c in docs.columns])

@@ -67,6 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_near_dedup, op3_lm_scoring, op4_url_filter, op5_quality, op6_licences, op7_decontamination, op8_chat, op9_suffix_dedup, op10_line_dedup)}
 
 _W = r"'[^\x20\x09-\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
     "op4_url_filter": """
@@ -86,4 +87,26 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + n + 17)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op5_quality": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, {_W}) AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_W})) AS ls FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+rep AS (SELECT r, count(DISTINCT i + k.k) AS n FROM g, (VALUES (0), (1), (2)) AS k(k) WHERE n >= 2 GROUP BY r),
+top AS (SELECT r, max(n) AS n FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(ws) AS x FROM w) GROUP BY r, x) GROUP BY r),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, coalesce(top.n, 0) AS top_n,
+  len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS alpha FROM w LEFT JOIN rep USING (r) LEFT JOIN top USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id::BIGINT AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 10 * n_symbols <= n_words AND 100 * n_dup_lines <= 60 * n_lines AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * alpha >= 7 * n_words AND top_n <= 0.3 * n_words AS kept
+FROM b""",
+    "op7_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_W}) AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({_LOWER}, {_W}) AS ws FROM benchmark),
+ig AS (SELECT DISTINCT q, item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (SELECT q, item_id, ws, least(5, len(ws)) AS k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS p FROM i WHERE len(ws) > 0)),
+n AS (SELECT q, count(*) AS n FROM ig GROUP BY q),
+ks AS (SELECT DISTINCT k FROM ig),
+dg AS (SELECT DISTINCT r, doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS g FROM (SELECT r, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, ks WHERE len(ws) >= k)),
+s AS (SELECT r, doc_id, q, item_id, count(*) AS shared FROM dg JOIN ig USING (k, g) GROUP BY ALL)
+SELECT doc_id::BIGINT AS doc_id, item_id::BIGINT AS item_id, n.n::BIGINT AS n_item_shingles, shared::BIGINT AS n_shared FROM s JOIN n USING (q) WHERE 100 * shared >= 80 * n.n""",
 }
