@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for their first document's."""
-    return linededup.deduplicated(spark, docs)
+    """Lines of templates that recur across documents go, but for their first document's. Copies of whole
+    documents stay whole, for the next stage to find."""
+    return linededup.deduplicated(spark, docs, spare_copies=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
