@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,19 +33,28 @@ def count_of(c: Column, what: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(what), F.lit("")))
 
 
-def _counts(lines: Column, d: str) -> Column:
-    return F.transform(lines, lambda x: count_of(x, d))
-
-
 def sniff_delimited(text: Column) -> Column:
     """The delimiter of text that is delimited, else null: at least SNIFF_LEAST lines, all but one of
     which have as many delimiters as the first, which has some."""
     head = F.slice(F.filter(F.split(text, "\n"), lambda x: ~is_blank(x)), 1, SNIFF_LINES)
     bare = F.transform(head, lambda x: outside_quotes(F.regexp_replace(x, r"\r$", "")))
+    return bound(F.when(text.isNotNull(), bare), _agreed)
+
+
+def _counts(lines: Column, d: str) -> Column:
+    return F.transform(lines, lambda x: count_of(x, d))
+
+
+def _agreed(bare: Column) -> Column:
     found = F.lit(None).cast("string")
     for d in reversed(DELIMITERS):
-        found = F.when(_agree(_counts(bare, d)), F.lit(d)).otherwise(found)
-    return F.when(text.isNotNull() & (F.size(bare) >= SNIFF_LEAST), found)
+        found = F.when(bound(_counts(bare, d), _agree), F.lit(d)).otherwise(found)
+    return F.when(F.size(bare) >= SNIFF_LEAST, found)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _agree(counts: Column) -> Column:

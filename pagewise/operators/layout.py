@@ -5,38 +5,50 @@ boxes: file_id, page, box_idx, text, x, y, w, h (double), confidence; page_width
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OVERLAP, CENTRE = 0.5, 0.75
 BINS, GUTTER, MARGIN = 100, 0.04, 15
 PAGE = ("file_id", "page")
+MARK = "[handwritten]"
 
 
-def gutters(boxes: DataFrame) -> DataFrame:
-    """(file_id, page, boundary): middles of the empty vertical strips of each page, in its inner bins."""
-    width = F.col("page_width") / BINS
+def _edges(boxes: Column, width: Column) -> Column:
+    """Boundaries between the columns of a page, from the array of its boxes: middles of the empty
+    vertical strips in its inner bins."""
+    step = width / BINS
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(BINS), c.cast("int")))
-    pages = boxes.groupBy(*PAGE).agg(F.max("page_width").alias("page_width"), F.count("*").alias("n")).filter("n >= 4 AND page_width > 0")
-    first, last = clamp(F.floor(F.col("x") / width)), clamp(F.ceil((F.col("x") + F.col("w")) / width))
-    marked = boxes.filter("page_width > 0").select(*PAGE, first.alias("a"), last.alias("b")).filter("b > a")
-    # the set of occupied bins of a page is one array of BINS at most
-    marked = marked.groupBy(*PAGE).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("a"), F.col("b") - 1)))).alias("full"))
-    inner = F.sequence(F.lit(MARGIN), F.lit(BINS - MARGIN - 1))
-    empty = pages.join(marked, [*PAGE], "left").select(*PAGE, "page_width", F.explode(F.array_except(inner, F.coalesce("full", F.array().cast("array<int>")))).alias("bin"))
-    run = F.col("bin") - F.row_number().over(Window.partitionBy(*PAGE).orderBy("bin"))
-    runs = empty.withColumn("run", run).groupBy(*PAGE, "page_width", "run").agg(F.min("bin").alias("start"), F.count("*").alias("len"))
+    spans = F.transform(boxes, lambda b: F.struct(clamp(F.floor(b["x"] / step)).alias("a"), clamp(F.ceil((b["x"] + b["w"]) / step)).alias("b")))
+    full = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["b"] > s["a"]), lambda s: F.sequence(s["a"], s["b"] - 1))))
+    empty = F.array_except(F.sequence(F.lit(MARGIN), F.lit(BINS - MARGIN - 1)), full)
+    # runs of empty bins begin and end where the bin before or after isn't empty
+    ends = lambda e, by: F.filter(e, lambda b: ~F.array_contains(e, b + by))
+    runs = F.element_at(F.transform(F.array(empty), lambda e: F.zip_with(ends(e, -1), ends(e, 1), lambda s, t: F.struct(s.alias("start"), (t - s + 1).alias("len")))), 1)
     least = -(-BINS * GUTTER // 1)
-    return runs.filter(F.col("len") >= least).select(*PAGE, ((F.col("start") + F.floor(F.col("len") / 2)) * F.col("page_width") / BINS).alias("boundary"))
+    found = F.transform(F.filter(runs, lambda r: r["len"] >= least), lambda r: (r["start"] + F.floor(r["len"] / 2)) * width / BINS)
+    return F.when((F.size(boxes) >= 4) & (width > 0), found).otherwise(F.array().cast("array<double>"))
+
+
+def _pages(boxes: DataFrame) -> DataFrame:
+    """A row a page with its boxes as an array: the one exchange that layout takes. All that follows is
+    by page, so it stays where it is."""
+    rest = [c for c in boxes.columns if c not in PAGE]
+    return boxes.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest)).alias("_boxes"), F.max("page_width").alias("_width"))
+
+
+def gutters(boxes: DataFrame) -> DataFrame:
+    """(file_id, page, boundary): middles of the empty vertical strips of each page, in its inner bins."""
+    return _pages(boxes).select(*PAGE, F.explode(_edges(F.col("_boxes"), F.col("_width"))).alias("boundary"))
 
 
 def split_columns(boxes: DataFrame) -> DataFrame:
     """boxes with col_no, counted from 0 over the columns that have boxes."""
-    edges = gutters(boxes).groupBy(*PAGE).agg(F.collect_list("boundary").alias("edges"))
-    centre = F.col("x") + F.col("w") / 2
-    at = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < centre))
-    out = boxes.join(edges, [*PAGE], "left").withColumn("_at", at).drop("edges")
-    return out.withColumn("col_no", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_at")) - 1).drop("_at")
+    pages = _pages(boxes).withColumn("_edges", _edges(F.col("_boxes"), F.col("_width")))
+    out = pages.select(*PAGE, "_edges", F.inline("_boxes"))
+    out = out.withColumn("_at", F.size(F.filter("_edges", lambda e: e < F.col("x") + F.col("w") / 2)))
+    out = out.withColumn("col_no", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("_at")) - 1)
+    return out.select(*boxes.columns, "col_no")
 
 
 def group_into_lines(boxes: DataFrame) -> DataFrame:
@@ -72,18 +84,41 @@ def lines_of(placed: DataFrame) -> DataFrame:
 
 def attach_human(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """regions (file_id, page, region_idx, y, h) with the line_no that each belongs to, null if to none:
-    the line it overlaps most, by at least half of the shorter; the last of equals."""
-    shared = F.least(F.col("y") + F.col("h"), F.col("bottom")) - F.greatest("y", "top")
-    part = shared / F.greatest(F.least(F.col("bottom") - F.col("top"), F.col("h")), F.lit(1.0))
-    spans = lines.select(*PAGE, "line_no", "top", "bottom")
-    best = regions.join(spans, [*PAGE]).withColumn("part", part).filter(F.col("part") >= OVERLAP)
-    best = best.groupBy(*PAGE, "region_idx").agg(F.max(F.struct("part", "line_no"))["line_no"].alias("line_no"))
-    return regions.join(best, [*PAGE, "region_idx"], "left")
+    the line it overlaps most, by at least half of the shorter; the last of equals. And before_line: for
+    those that belong to none, the first line with a greater baseline, null if there is none."""
+    spans = F.collect_list(F.struct("line_no", "top", "bottom", "baseline_y")).alias("_lines")
+    by_page = lines.groupBy(*PAGE).agg(spans)
+    y, h = F.col("y"), F.col("h")
+    shared = lambda s: F.greatest(F.least(y + h, s["bottom"]) - F.greatest(y, s["top"]), F.lit(0.0))
+    part = lambda s: shared(s) / F.greatest(F.least(s["bottom"] - s["top"], h), F.lit(1.0))
+    fits = F.filter(F.transform("_lines", lambda s: F.struct(part(s).alias("part"), s["line_no"].alias("line_no"))), lambda f: f["part"] >= OVERLAP)
+    below = F.array_min(F.transform(F.filter("_lines", lambda s: s["baseline_y"] > y + h / 2), lambda s: s["line_no"]))
+    out = regions.join(by_page, [*PAGE], "left").withColumn("line_no", F.array_max(fits)["line_no"])
+    return out.withColumn("before_line", F.when(F.col("line_no").isNull(), below)).drop("_lines")
 
 
 def insert_unmatched(regions: DataFrame, lines: DataFrame) -> DataFrame:
     """Where each region that belongs to no line goes: before the first line with a greater baseline."""
-    base = F.col("y") + F.col("h") / 2
-    loose = attach_human(lines, regions).filter("line_no is null").drop("line_no")
-    after = loose.join(lines.select(*PAGE, "line_no", "baseline_y"), [*PAGE], "left").filter(F.col("baseline_y") > base).groupBy(*PAGE, "region_idx").agg(F.min("line_no").alias("before_line"))
-    return loose.join(after, [*PAGE, "region_idx"], "left")
+    return attach_human(lines, regions).filter("line_no is null").drop("line_no")
+
+
+def lines_with_human(placed: DataFrame, regions: DataFrame) -> DataFrame:
+    """Lines of boxes placed in lines, with their handwriting: a mark among the boxes of the line a region
+    belongs to, from left to right, and a line of its own for one that belongs to none. Several of these
+    between the same two lines go by their middle, as each goes before what lies lower."""
+    lines = lines_of(placed)
+    told = attach_human(lines, regions)
+    marks = told.filter("line_no is not null").groupBy(*PAGE, "line_no").agg(F.array_sort(F.collect_list(F.struct("x", F.lit(1).alias("kind"), F.col("region_idx").alias("idx"), F.lit(MARK).alias("text")))).alias("_marks"))
+    cells = placed.groupBy(*PAGE, "line_no").agg(F.collect_list(F.struct("x", F.lit(0).alias("kind"), F.col("pos").cast("int").alias("idx"), "text")).alias("_cells"))
+    merged = F.array_sort(F.concat("_cells", F.transform("_marks", lambda m: F.struct(m["x"].alias("x"), m["kind"].alias("kind"), m["idx"].cast("int").alias("idx"), m["text"].alias("text")))))
+    out = lines.join(cells, [*PAGE, "line_no"]).join(marks, [*PAGE, "line_no"], "left")
+    text = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(F.transform(merged, lambda c: c["text"]), " "))
+    out = out.withColumns({"text": text, "n_human": F.coalesce(F.size("_marks"), F.lit(0)), "_order": F.struct(F.col("line_no").alias("a"), F.lit(1).alias("b"), F.lit(0.0).alias("c"), F.lit(0).alias("d"))}).drop("_marks", "_cells")
+    last = F.coalesce("before_line", F.lit(2**31 - 1))
+    middle = F.col("y") + F.col("h") / 2
+    own = told.filter("line_no is null").select(
+        *PAGE, F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(MARK).alias("text"), middle.alias("baseline_y"), F.lit(0.0).alias("height"), F.lit(None).cast("double").alias("top"), F.lit(None).cast("double").alias("bottom"),
+        F.lit(0).cast("long").alias("n_boxes"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("min_confidence"), F.lit(1).alias("n_human"), F.struct(last.alias("a"), F.lit(0).alias("b"), middle.alias("c"), F.col("region_idx").cast("int").alias("d")).alias("_order"),
+    )
+    out = out.unionByName(own)
+    return out.withColumn("line_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("_order")) - 1).drop("_order")

@@ -20,16 +20,22 @@ def heading_level(height: Column, body: Column) -> Column:
     return out
 
 
+def _upper_median(heights: Column) -> Column:
+    hs = F.sort_array(heights)
+    return F.coalesce(F.get(hs, F.floor(F.size(hs) / 2).cast("int")), F.lit(0.0))
+
+
 def body_heights(lines: DataFrame) -> DataFrame:
     """The upper median of the heights of a page's lines."""
-    hs = F.sort_array(F.collect_list(F.when(F.col("height") > 0, F.col("height"))))
-    return lines.groupBy(*PAGE).agg(F.coalesce(F.get(hs, F.floor(F.size(hs) / 2).cast("int")), F.lit(0.0)).alias("body"))
+    return lines.groupBy(*PAGE).agg(_upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height")))).alias("body"))
 
 
 def to_markdown(lines: DataFrame, *, confidence_floor: float = 0.5, mark_uncertain: bool = True) -> DataFrame:
     """(file_id, page, markdown)."""
     page = Window.partitionBy(*PAGE).orderBy("line_no")
-    x = lines.join(body_heights(lines), [*PAGE]).filter(~is_blank(F.col("text"))).withColumn("before", F.lag("baseline_y").over(page))
+    every = page.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    body = _upper_median(F.collect_list(F.when(F.col("height") > 0, F.col("height"))).over(every))
+    x = lines.withColumn("body", body).filter(~is_blank(F.col("text"))).withColumn("before", F.lag("baseline_y").over(page))
     level = heading_level(F.col("height"), F.col("body"))
     mark = F.when(F.lit(mark_uncertain) & (F.col("min_confidence") < confidence_floor), LOW).otherwise("")
     first = F.col("before").isNull()

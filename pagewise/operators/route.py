@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sniff_delimited
+from ..functions.text import bound, sniff_delimited
+from ..limits import Limits
+from ..sources import pdf
 
 #: Extensions of the office formats, by which a name can be a hint.
 OFFICE = ("doc", "docx", "docm", "ppt", "pps", "pot", "pptx", "pptm", "ppsx", "ppsm", "xls", "xlsx", "xlsm", "xlsb", "odt", "ods", "odp", "rtf", "epub", "csv")
@@ -52,7 +57,10 @@ def office_kind(content: Column) -> Column:
         .when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.spreadsheet"), "ods").when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.presentation"), "odp")
         .when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
     )
-    return F.when(h.startswith("504B0304"), zipped).when(h == "D0CF11E0A1B11AE1", "doc").when(h.startswith("7B5C727466"), "rtf")
+    # OLE2 files name their streams in UTF-16
+    inside = lambda name: F.contains(content, F.lit(bytearray(name.encode("utf-16-le"))))
+    old = F.when(inside("WordDocument"), "doc").when(inside("PowerPoint Document"), "ppt").when(inside("Workbook") | inside("Book"), "xls").otherwise("doc")
+    return F.when(h.startswith("504B0304"), zipped).when(h == "D0CF11E0A1B11AE1", old).when(h.startswith("7B5C727466"), "rtf")
 
 
 def classify(content: Column, text: Column, filename: Column) -> Column:
@@ -61,14 +69,12 @@ def classify(content: Column, text: Column, filename: Column) -> Column:
     text: the content as text if it is valid UTF-8, else null.
     """
     suffix = F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
-    office = office_kind(content)
     row = lambda route, fmt: F.struct(F.lit(route).alias("route"), fmt.alias("format"))
     none = F.lit(None).cast("string")
-    return (
-        F.when(F.length(content) == 0, row("empty", none)).when(office.isNotNull(), row("office", office)).when(head(content, 1, 5) == "255044462D", row("pdf", none))
-        .when(image_kind(content).isNotNull(), row("image", image_kind(content))).when(sniff_delimited(text).isNotNull(), row("office", F.lit("csv")))
-        .when(text.isNotNull() & suffix.isin(*OFFICE), row("office", suffix)).otherwise(row("unknown", none))
-    )
+    is_csv = sniff_delimited(text).isNotNull()
+    by_magic = bound(F.struct(office_kind(content).alias("office"), image_kind(content).alias("image")), lambda k: F.when(k["office"].isNotNull(), row("office", k["office"])).when(head(content, 1, 5) == "255044462D", row("pdf", none)).when(k["image"].isNotNull(), row("image", k["image"])))
+    by_text = F.when(is_csv, row("office", F.lit("csv"))).when(text.isNotNull() & suffix.isin(*OFFICE), row("office", suffix)).otherwise(row("unknown", none))
+    return F.when(F.length(content) == 0, row("empty", none)).otherwise(F.coalesce(by_magic, by_text))
 
 
 def pdf_kind(page_count: Column, needing: Column) -> Column:
@@ -83,9 +89,48 @@ def summary(route: Column, fmt: Column, page_count: Column, needing: Column) ->
     return F.when(route == "office", F.concat(F.initcap(fmt), F.lit(" document, no OCR needed"))).when(route == "pdf", pdf).when(route == "image", "image, needs OCR").otherwise("unrecognised")
 
 
-def inspect(files: DataFrame, filename: str | None = "filename") -> DataFrame:
-    """files (content) to plans: route, format, needs_ocr, ocr_page_count. PDF pages are surveyed by the reader."""
+def inspect(files: DataFrame, filename: str | None = "filename", *, survey: bool = False, limits: Limits | None = None) -> DataFrame:
+    """files (content) to plans: route, format, needs_ocr, ocr_page_count. With survey, the pages of PDFs are
+    looked at as well, which adds page_count, kind, error and the summary, and needs Python for PDFs."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     name = F.col(filename) if filename and filename in files.columns else F.lit(None).cast("string")
     out = files.withColumn("_c", classify(F.col("content"), text, name))
-    return out.select(*[c for c in files.columns if c != "content"], F.col("_c.route").alias("route"), F.col("_c.format").alias("format"), (F.col("_c.route") == "image").alias("needs_ocr"), (F.col("_c.route") == "image").cast("int").alias("ocr_page_count"))
+    own = [c for c in files.columns if c != "content"]
+    if not survey:
+        return out.select(*own, F.col("_c.route").alias("route"), F.col("_c.format").alias("format"), (F.col("_c.route") == "image").alias("needs_ocr"), (F.col("_c.route") == "image").cast("int").alias("ocr_page_count"))
+    # only the bytes of PDFs leave the JVM
+    seen = survey_pdfs(out.withColumn("content", F.when(F.col("_c.route") == "pdf", F.col("content"))).select(*own, "_c.*", "content"), limits)
+    pages, needing = F.coalesce("page_count", F.lit(0)), F.coalesce(F.size("needing"), F.lit(0))
+    is_pdf = F.col("route") == "pdf"
+    count = F.when(is_pdf, needing).otherwise((F.col("route") == "image").cast("int"))
+    kind = F.when(is_pdf & F.col("error").isNull(), pdf_kind(pages, needing))
+    return seen.select(*own, "route", "format", (count > 0).alias("needs_ocr"), count.cast("int").alias("ocr_page_count"), "page_count", kind.alias("kind"), "needing", summary(F.col("route"), F.col("format"), pages, needing).alias("summary"), "error")
+
+
+_SURVEY = {"page_count": pa.int32(), "needing": pa.list_(pa.int32()), "error": pa.string()}
+
+
+def survey_pdfs(files: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """files (content, null where there is nothing to look at) without content, plus page_count, the numbers
+    of the pages that need OCR, and error."""
+
+    def one(content) -> tuple:
+        if content is None:
+            return None, None, None
+        try:
+            found = list(pdf.page_texts(pdf.Pdf(bytes(content), limits)))
+        except pdf.PdfError as e:
+            return None, None, str(e)
+        return len(found), [p.number for p in found if p.needs_ocr], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("content")
+            rows = [one(x.as_py()) for x in batch.column(at)]
+            kept = [c for k, c in enumerate(batch.columns) if k != at]
+            names = [n for n in batch.schema.names if n != "content"]
+            cols = zip(*rows, strict=True) if rows else [[] for _ in _SURVEY]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(cols, _SURVEY.values(), strict=True)]], names=[*names, *_SURVEY])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
+    return files.mapInArrow(run, f"{ddl}, page_count int, needing array<int>, error string")

@@ -381,3 +381,6 @@ def quarter_turns(spark, sf_dir):
 @query(r"SELECT doc_id, NOT regexp_matches(text, '\S') AS blank FROM documents")
 def blank_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", is_blank(F.col("text")).alias("blank"))
+
+
+from . import reading  # noqa: E402, F401 - registers its queries here

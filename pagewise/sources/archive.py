@@ -1,7 +1,8 @@
-"""The archive guard: counts what an archive really unpacks to, and keeps none of it."""
+"""The archive guard: counts what an archive really unpacks to, and keeps only what is an archive again."""
 
 from __future__ import annotations
 
+import bz2
 import io
 import zipfile
 import zlib
@@ -27,7 +28,19 @@ def _produced(content: bytes, entry: zipfile.ZipInfo) -> Iterator[bytes]:
     if entry.compress_type == zipfile.ZIP_STORED:
         yield bytes(raw)
         return
-    inflate = zlib.decompressobj(-15)
+    # other methods must obey the same ceiling: their unpackers are asked for pieces as well
+    inflate = {zipfile.ZIP_BZIP2: bz2.BZ2Decompressor, zipfile.ZIP_LZMA: lambda: None}.get(entry.compress_type, lambda: zlib.decompressobj(-15))()
+    if inflate is None:
+        raise zlib.error("a method that no reader here unpacks")
+    if isinstance(inflate, bz2.BZ2Decompressor):
+        for k in range(0, len(raw), STEP):
+            piece = bytes(raw[k : k + STEP])
+            while not inflate.eof:
+                yield inflate.decompress(piece, STEP)
+                piece = b""
+                if inflate.needs_input:
+                    break
+        return
     for k in range(0, len(raw), STEP):
         left = bytes(raw[k : k + STEP])
         while left:
@@ -35,7 +48,7 @@ def _produced(content: bytes, entry: zipfile.ZipInfo) -> Iterator[bytes]:
             left = inflate.unconsumed_tail
 
 
-def check(content: bytes, limits: Limits, depth: int = 1) -> tuple[str, int, int | None] | None:
+def check(content: bytes, limits: Limits, depth: int = 0) -> tuple[str, int, int | None] | None:
     """(limit, allowed, found) of the first ceiling that is passed, or None. What is no readable zip passes."""
     if not looks_like_zip(content):
         return None
@@ -43,7 +56,7 @@ def check(content: bytes, limits: Limits, depth: int = 1) -> tuple[str, int, int
         entries = zipfile.ZipFile(io.BytesIO(content)).infolist()
     except (zipfile.BadZipFile, ValueError, NotImplementedError):
         return None
-    if limits.archive_depth is not None and depth > limits.archive_depth + 1:
+    if limits.archive_depth is not None and depth > limits.archive_depth:
         return "archive nesting depth", limits.archive_depth, depth
     if limits.archive_entries is not None and len(entries) > limits.archive_entries:
         return "archive entries", limits.archive_entries, len(entries)
@@ -64,7 +77,7 @@ def check(content: bytes, limits: Limits, depth: int = 1) -> tuple[str, int, int
                 nested = piece[:2] == b"PK" if nested is None and piece else nested
                 if nested:
                     inner.append(piece)
-        except zlib.error:
+        except (zlib.error, OSError, EOFError):
             continue
         if nested and (found := check(b"".join(inner), limits, depth + 1)):
             return found

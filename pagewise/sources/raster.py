@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 from ..limits import Limits
 
 LUMA = (0.2126, 0.7152, 0.0722)
 MAX_ANGLE, COARSE, FINE, GAIN, LEAST_SIDE, SIDEWAYS = 15, 1.0, 0.1, 1.05, 16, 1.3
-FLATTEN_PART, FLATTEN_LEAST = 0.04, 8
+FLATTEN_PART, FLATTEN_LEAST, FLATTEN_CELLS = 0.04, 8, 50_000_000
+#: Brands of HEIC files: fixed values.
+HEIC = ("heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs")
 
 
 class TooLarge(ValueError):
@@ -22,7 +22,19 @@ class TooLarge(ValueError):
 
 
 class Undecodable(ValueError):
-    pass
+    """The image is damaged."""
+
+
+class Unsupported(Undecodable):
+    """There is no decoder for it here; another one may have it."""
+
+
+class DecodeImage(Protocol):
+    """Another decoder, asked only for what this module has none for."""
+
+    def handles(self, content: bytes) -> bool: ...
+
+    def decode(self, content: bytes) -> np.ndarray: ...
 
 
 def header_size(content: bytes) -> tuple[int, int] | None:
@@ -35,34 +47,41 @@ def header_size(content: bytes) -> tuple[int, int] | None:
 
 
 def _unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
+    """PNG row filters undone: sums along a row or column at once, the others pixel by pixel over all channels."""
     out = np.zeros((height + 1, stride), np.uint8)
     data = np.frombuffer(raw, np.uint8)[: height * (stride + 1)].reshape(height, stride + 1)
     for y in range(height):
-        kind, line, up = data[y, 0], data[y, 1:].astype(np.int64), out[y].astype(np.int64)
-        if kind == 2:
-            line = line + up
-        elif kind:
-            for x in range(stride):
-                a, c = (line[x - step], up[x - step]) if x >= step else (0, 0)
-                b = up[x]
-                if kind == 1:
-                    add = a
-                elif kind == 3:
-                    add = (a + b) // 2
-                else:
-                    p = a + b - c
-                    add = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                line[x] = (line[x] + add) & 255
-        out[y + 1] = line & 255
+        kind, line, up = data[y, 0], data[y, 1:], out[y]
+        if kind == 0:
+            out[y + 1] = line
+        elif kind == 1:
+            out[y + 1] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            out[y + 1] = line + up
+        else:
+            out[y + 1] = _by_pixel(kind, line.tolist(), up.tolist(), step)
     return out[1:]
 
 
+def _by_pixel(kind: int, line: list[int], up: list[int], step: int) -> list[int]:
+    if kind == 3:
+        for x in range(len(line)):
+            line[x] = (line[x] + (((line[x - step] if x >= step else 0) + up[x]) >> 1)) & 255
+        return line
+    for x in range(len(line)):
+        a, c = (line[x - step], up[x - step]) if x >= step else (0, 0)
+        b = up[x]
+        pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        line[x] = (line[x] + (a if pa <= pb and pa <= pc else b if pb <= pc else c)) & 255
+    return line
+
+
 def decode(content: bytes, limits: Limits | None = None) -> np.ndarray:
     """Grey pixels of a PNG (8 bits, not interlaced) or BMP (24 or 32 bits); the header is judged before any pixel."""
     limits = limits or Limits()
     size = header_size(content)
     if not size:
-        raise Undecodable("no decoder for this image")
+        raise Unsupported(f"{brand} images need a decoder of the platform" if (brand := heif_brand(content)) else "no decoder for this image")
     w, h = size
     if limits.pixels_per_page is not None and w * h > limits.pixels_per_page:
         raise TooLarge(f"image pixels is {w * h}, over the limit of {limits.pixels_per_page}")
@@ -72,10 +91,10 @@ def decode(content: bytes, limits: Limits | None = None) -> np.ndarray:
             stride = (w * bits // 8 + 3) // 4 * 4
             rows = np.frombuffer(content, np.uint8, stride * h, at).reshape(h, stride)[:, : w * bits // 8].reshape(h, w, bits // 8)
             rows = rows[::-1] if struct.unpack("<i", content[22:26])[0] > 0 else rows
-            return _grey(rows[:, :, 2::-1])
+            return grey(rows[:, :, 2::-1])
         depth, colour, _, _, interlaced = content[24:29]
         if depth != 8 or interlaced or colour not in (0, 2, 4, 6):
-            raise Undecodable("this kind of PNG needs another decoder")
+            raise Unsupported("this kind of PNG needs another decoder")
         channels, data, at = {0: 1, 2: 3, 4: 2, 6: 4}[colour], [], 8
         while at < len(content):
             n, kind = struct.unpack(">I4s", content[at : at + 8])
@@ -84,14 +103,36 @@ def decode(content: bytes, limits: Limits | None = None) -> np.ndarray:
             at += n + 12
         raw = zlib.decompressobj().decompress(b"".join(data), h * (w * channels + 1))
         px = _unfilter(raw, h, w * channels, channels).reshape(h, w, channels)
-        return px[:, :, 0].copy() if channels < 3 else _grey(px[:, :, :3])
+        return px[:, :, 0].copy() if channels < 3 else grey(px[:, :, :3])
     except (struct.error, zlib.error, ValueError, IndexError) as e:
         if isinstance(e, Undecodable):
             raise
         raise Undecodable("the image is damaged") from None
 
 
-def _grey(rgb: np.ndarray) -> np.ndarray:
+def decode_using(content: bytes, limits: Limits | None = None, decoder: DecodeImage | None = None) -> np.ndarray:
+    """decode(), or what another decoder makes of an image that there is none for here; damaged ones
+    aren't handed on, and its pixels are counted again."""
+    limits = limits or Limits()
+    try:
+        return decode(content, limits)
+    except Unsupported:
+        if decoder is None or not decoder.handles(content):
+            raise
+    img = decoder.decode(content)
+    if limits.pixels_per_page is not None and img.size > limits.pixels_per_page:
+        raise TooLarge(f"image pixels is {img.size}, over the limit of {limits.pixels_per_page}")
+    return img
+
+
+def heif_brand(content: bytes) -> str | None:
+    if content[4:8] != b"ftyp":
+        return None
+    brand = content[8:12].decode("latin-1")
+    return "HEIC" if brand in HEIC else {"avif": "AVIF", "avis": "AVIF", "mif1": "HEIF", "msf1": "HEIF", "mif2": "HEIF"}.get(brand)
+
+
+def grey(rgb: np.ndarray) -> np.ndarray:
     return (rgb @ np.array(LUMA)).astype(np.uint8)
 
 
@@ -156,16 +197,27 @@ def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
     sx = cx + (x - cx) * np.cos(a) + (y - cy) * np.sin(a)
     sy = cy - (x - cx) * np.sin(a) + (y - cy) * np.cos(a)
     ok = (sx >= 0) & (sy >= 0) & (sx < w - 1) & (sy < h - 1)
-    x0, y0 = np.where(ok, sx, 0).astype(int), np.where(ok, sy, 0).astype(int)
-    fx, fy, f = sx - x0, sy - y0, img.astype(float)
-    v = f[y0, x0] * (1 - fx) * (1 - fy) + f[y0, x0 + 1] * fx * (1 - fy) + f[y0 + 1, x0] * (1 - fx) * fy + f[y0 + 1, x0 + 1] * fx * fy
-    return np.where(ok, v, 255).astype(np.uint8)
+    out = np.full(img.shape, 255, np.uint8)
+    out[ok] = bilinear(img, sx[ok], sy[ok]).astype(np.uint8)
+    return out
+
+
+def bilinear(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Values between pixels; every x and y must have a next pixel."""
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy, f = x - x0, y - y0, img.astype(float)
+    return f[y0, x0] * (1 - fx) * (1 - fy) + f[y0, x0 + 1] * fx * (1 - fy) + f[y0 + 1, x0] * (1 - fx) * fy + f[y0 + 1, x0 + 1] * fx * fy
+
+
+def turned(img: np.ndarray, rotation: int) -> np.ndarray:
+    """By 90 (clockwise), 180 or 270 degrees; half a turn resamples about the centre, as any angle does."""
+    return rotate(img, 180.0) if rotation == 180 else np.rot90(img, -rotation // 90) if rotation else img
 
 
 def flatten(img: np.ndarray) -> np.ndarray:
     """Evens out lighting: pixels over their neighbourhood's mean, by a summed-area table."""
     h, w = img.shape
-    if min(h, w) < FLATTEN_LEAST:
+    if min(h, w) < FLATTEN_LEAST or (h + 1) * (w + 1) > FLATTEN_CELLS:
         return img.copy()
     r = int(max(FLATTEN_LEAST, FLATTEN_PART * max(h, w)))
     s = np.pad(img.astype(np.uint64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
@@ -174,33 +226,3 @@ def flatten(img: np.ndarray) -> np.ndarray:
     total = s[y1][:, x1] + s[y0][:, x0] - s[y0][:, x1] - s[y1][:, x0]
     mean = total // ((y1 - y0)[:, None] * (x1 - x0)[None, :]).astype(np.uint64)
     return np.minimum(255, img.astype(np.uint64) * np.uint64(255) // np.maximum(mean, 1)).astype(np.uint8)
-
-
-PROFILES = {"photograph": (True, True, True), "scanned_page": (True, True, True), "rendered_page": (False, False, False)}
-
-
-def prepare_images(files: DataFrame, *, profile: str = "photograph", limits: Limits | None = None) -> DataFrame:
-    """files (path, content) to (path, width, height, rotation, skew, pixels, error): one row a file, always."""
-    if profile not in PROFILES:
-        raise ValueError(f"unknown profile {profile!r}; known: {', '.join(PROFILES)}")
-    even, turn, straighten = PROFILES[profile]
-
-    def one(content) -> dict:
-        try:
-            img = decode(bytes(content or b""), limits)
-        except (TooLarge, Undecodable) as e:
-            return {"width": None, "height": None, "rotation": None, "skew": None, "pixels": None, "error": str(e)}
-        img = flatten(img) if even else img
-        rotation = detect_orientation(img) if turn else 0
-        img = np.rot90(img, -rotation // 90) if rotation else img
-        skew = estimate_skew(img) if straighten else 0.0
-        img = rotate(img, -skew)
-        return {"width": img.shape[1], "height": img.shape[0], "rotation": rotation, "skew": skew, "pixels": img.tobytes(), "error": None}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = pd.DataFrame([one(c) for c in b["content"]], columns=["width", "height", "rotation", "skew", "pixels", "error"])
-            out.insert(0, "path", b["path"].values)
-            yield out.astype({"width": "Int32", "height": "Int32", "rotation": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, "path string, width int, height int, rotation int, skew double, pixels binary, error string")

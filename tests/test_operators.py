@@ -29,7 +29,8 @@ def test_one_row_and_two(spark):
 
 
 def test_tall_box(spark):
-    assert texts(spark, [("1 CORN", 10, 10, 80, 30), ("2,20", 160, 10, 35, 12), ("1 B.LOLOT", 10, 29, 90, 12), ("2,30", 160, 29, 35, 12)], width=0.0) == ["1 CORN 2,20", "1 B.LOLOT 2,30"]
+    rows = [("Plums", 12, 50, 70, 28), ("3 kg", 210, 51, 40, 14), ("Pears", 12, 74, 66, 14), ("1 kg", 210, 75, 40, 14)]
+    assert texts(spark, rows, width=0.0) == ["Plums 3 kg", "Pears 1 kg"]
 
 
 @pytest.mark.parametrize("xs,w,n", [((10, 250), 150, 6), ((10, 160, 310), 80, 4)])
@@ -39,9 +40,9 @@ def test_columns(spark, xs, w, n):
 
 
 def test_markdown(spark):
-    page = boxes(spark, [("Annual Report", 10, 10, 200, 32, 0.9), *[(f"body {i}", 10, 80 + 20 * i, 100, 16, 0.9) for i in range(3)], ("after", 10, 300, 80, 16, 0.2)])
+    page = boxes(spark, [("Tide tables", 14, 6, 180, 30, 0.8), *[(f"high water {i}", 14, 90 + 22 * i, 120, 15, 0.95) for i in range(3)], ("see overleaf", 14, 320, 90, 15, 0.3)])
     got = markdown.to_markdown(layout.assemble(page)).first().markdown
-    assert got == "# Annual Report\n\n\nbody 0\nbody 1\nbody 2\n\nafter <!-- low confidence -->\n"
+    assert got == "# Tide tables\n\n\nhigh water 0\nhigh water 1\nhigh water 2\n\nsee overleaf <!-- low confidence -->\n"
 
 
 def test_confidence_steps_over_nan(spark):
@@ -63,7 +64,7 @@ def test_sniff(spark, text, want):
 
 
 def test_route(spark):
-    rows = [(0, b"", None), (1, b"%PDF-1.7", None), (2, bytes.fromhex("89504E470D0A1A0A"), None), (3, b"ref\nINV-001\nINV-002\n", "x.csv"), (4, b"ref\nINV-001\nINV-002\n", None), (5, b"\0\0\0\x18ftypheic", None), (6, b"\0\0\0\x18ftypisom", None), (7, bytes.fromhex("FFD800010203"), "x.csv")]
+    rows = [(0, b"", None), (1, b"%PDF-1.7", None), (2, bytes.fromhex("89504E470D0A1A0A"), None), (3, b"tide\nebb 06:12\nflood 12:40\n", "x.csv"), (4, b"tide\nebb 06:12\nflood 12:40\n", None), (5, b"\0\0\0\x18ftypheic", None), (6, b"\0\0\0\x18ftypisom", None), (7, bytes.fromhex("FFD800010203"), "x.csv")]
     got = {r.id: (r.route, r.format) for r in route.inspect(spark.createDataFrame(rows, "id int, content binary, filename string")).collect()}
     assert got == {0: ("empty", None), 1: ("pdf", None), 2: ("image", "png"), 3: ("office", "csv"), 4: ("unknown", None), 5: ("image", "heic"), 6: ("unknown", None), 7: ("unknown", None)}
 
