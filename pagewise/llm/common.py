@@ -171,22 +171,52 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
-PIECE = 1 << 18
+PIECE, PLACES = 1 << 18, 64
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
+_GAPS = np.zeros(256, bool)
+_GAPS[[0x20, *range(0x09, 0x0E)]] = True
+_FOLD = np.arange(256)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+#: A random number for each byte at each place of a word: sums of them collide no more than chance has it.
+_OF_PLACE = np.random.default_rng(22).integers(0, 2**64, (PLACES, 256), dtype=np.uint64).ravel()
 
 
-def lower_word_hashes(raw: bytes, hashes: WordHashes) -> np.ndarray:
-    """Hashes of a text's words with A-Z lowered, piece by piece, so that a long text's words are
-    never all held apart."""
+def lower_word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words with A-Z lowered, by tabulation over all bytes at once.
+
+    Texts are taken in pieces that end between words, so that memory is bounded; words of more than
+    PLACES bytes are hashed one by one.
+    """
     out, at = [], 0
     while at < len(raw):
         gap = _GAP.search(raw, at + PIECE)
         end = gap.start() if gap else len(raw)
-        out.append(hashes.of(raw[at:end].lower().split()))
+        out.append(_piece_hashes(raw[at:end]))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _piece_hashes(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    gap = _GAPS[b]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    b, gap, starts = b[starts[0] :], gap[starts[0] :], starts - starts[0]
+    place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
+    values = _OF_PLACE[np.minimum(place, PLACES - 1) * 256 + _FOLD[b]]
+    values[gap] = 0
+    out = np.add.reduceat(values, starts)
+    if len(b) > PLACES:
+        lead = len(raw) - len(b)
+        for k in np.flatnonzero((sizes := np.add.reduceat(~gap, starts, dtype=np.int64)) > PLACES):
+            at = lead + starts[k]
+            out[k] = xxhash.xxh3_64_intdigest(raw[at : at + sizes[k]].lower())
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

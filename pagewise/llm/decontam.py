@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, byte_texts, gram_hashes, lower_word_hashes, mixed, shingle_set
+from .common import U, byte_texts, gram_hashes, lower_word_hashes, mixed, shingle_set
 
 BLOCK_SHINGLES = 1_000_000
 SHINGLE = 5
@@ -76,9 +76,9 @@ class Index:
 
 
 def item_blocks(items: list[tuple[int | None, str | None]]) -> Iterator[list[tuple[int | None, np.ndarray, int]]]:
-    hashes, block, held = WordHashes(), [], 0
+    block, held = [], 0
     for item, text in items:
-        h = hashes.of((text or "").encode().lower().split())
+        h = lower_word_hashes((text or "").encode())
         if len(h):
             s = shingle_set(h, SHINGLE)
             block.append((item, s, min(SHINGLE, len(h))))
@@ -107,12 +107,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     for index in _indexes(spark, benchmark, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
                 found = []
                 for doc, raw in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                     if raw:
-                        found += [(doc, *m) for m in index.value.matches(lower_word_hashes(raw, hashes))]
+                        found += [(doc, *m) for m in index.value.matches(lower_word_hashes(raw))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_item_shingles", "n_shared"])
 
@@ -125,10 +124,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *
     for index in _indexes(spark, benchmark, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
             for batch in batches:
                 texts = byte_texts(batch.column(batch.schema.get_field_index("text")))
-                yield batch.filter(pa.array([not (raw and index.value.matches(lower_word_hashes(raw, hashes))) for raw in texts], pa.bool_()))
+                yield batch.filter(pa.array([not (raw and index.value.matches(lower_word_hashes(raw))) for raw in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -1,20 +1,24 @@
 """MinHash near-dedup as a chosen-path set similarity join.
 
-Documents with the same shingle set are one class. Classes get POSITIONS minwise hashes. Each of
-TREES independent trees branches them: a node of the tree (a path) chooses BRANCHES positions by a
-hash of its own path, and sends each class to the child named by the class's minwise token there.
-Small nodes are compared exhaustively; larger ones branch again, to DEPTH levels. Two sets of
-similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its
-children and 0 at a leaf: for s = 0.85 at most 0.029 a tree, so four trees lose one link in a
-million; for s = 0.8 at most 0.054 a tree, one in 100,000.
-
-A node is compared on full shingle sets by one task. What is asked for is connection, so a pair
-already connected within the node is skipped and a node yields spanning links only, never all
-pairs. Nodes beyond BLOCK classes (large groups of near copies that no path separates) are dealt
-into blocks that share a few pivots; after connecting, every class of such a node outside the
-node's largest component is compared with all blocks of the node, which covers each pair of
+Documents with the same shingle set are one class. Classes get POSITIONS minwise hashes, POOL of them
+a tree. Each of TREES independent trees branches them: a node of the tree (a path) chooses BRANCHES
+positions of its tree's pool by a hash of its own path, and sends each class to the child named by the
+class's minwise token there. Small nodes are compared exhaustively; larger ones branch again, and
+again, until they are small. Only a node whose classes are alike isn't branched any more, since no
+token would part them: it holds near copies for the most part, and is compared as it is. Two sets of
+similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its children
+and 0 where nodes are compared: however deep, at most 0.031 a tree for s = 0.85, so four trees lose one
+link in a million; for s = 0.8 at most 0.0625, one in 65,000.
+
+A node is compared on full shingle sets. What is asked for is connection, so a pair already connected
+within the node is skipped and a node yields spanning links only, never all pairs. Nodes beyond BLOCK
+classes are dealt into blocks that share a few pivots; after connecting, every class of such a node
+outside the node's largest component is compared with all blocks of the node, which covers each pair of
 classes not connected yet.
 
+Joins by path can meet a path that many classes take; they are plain equi-joins with a row a path on
+one side, which adaptive execution splits where a partition is skewed.
+
 Edge cases: null texts and texts without words have no shingles, are linked with nothing and are
 kept; a null doc_id is kept, its component_id is that of its class (null when all are); repeated
 rows are members of one class and carry the same component_id; extra columns stay untouched;
@@ -24,17 +28,21 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, WordHashes, byte_texts, column, dropped, lower_word_hashes, shingle_set, stored, unused_name
+from .common import U, byte_texts, column, dropped, lower_word_hashes, shingle_set, stored, unused_name
 
-TREES, DEPTH, BRANCHES, PER_LEVEL = 4, 2, 2, 4
-POSITIONS = TREES * DEPTH * PER_LEVEL
+TREES, BRANCHES, PER_LEVEL, POOL = 4, 2, 4, 16
+POSITIONS = TREES * POOL
+#: A path that took this many levels has met all its tree's positions or a node that won't part; and the
+#: part of positions at which the classes of a node agree with one of them, on average, that makes them alike.
+LEVELS, ALIKE = 16, 0.75
 LEAF, BLOCK, PIVOTS = 24, 384, 4
 ROWS_A_TASK = 250_000
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
@@ -50,11 +58,10 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for batch in batches:
         n, cls, sigs = [], [], []
         for raw in byte_texts(batch.column(2)):
-            s = shingle_set(lower_word_hashes(raw or b"", hashes))
+            s = shingle_set(lower_word_hashes(raw or b""))
             n.append(len(s))
             cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(minhash(s) if len(s) else None)
@@ -63,11 +70,10 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cls, text) to (cls, shingle set), where the text still has that set; a null cls takes the text's."""
-    hashes = WordHashes()
     for batch in batches:
         cls, sets = [], []
         for want, raw in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
-            s = shingle_set(lower_word_hashes(raw or b"", hashes))
+            s = shingle_set(lower_word_hashes(raw or b""))
             found = xxhash.xxh3_128_digest(s.tobytes())
             if len(s) and found == (want or found):
                 cls.append(found)
@@ -171,40 +177,53 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
             return new.select("cls", "comp")
 
 
-def _paths(level: int, path, sig) -> object:
+def _roots(sig: Column) -> Column:
+    """The nodes under the root of each tree, BRANCHES a tree; their positions are fixed."""
+    return F.array(*[F.xxhash64(F.lit(t), F.lit(p), sig[t * POOL + p]) for t in range(TREES) for p in range(BRANCHES)])
+
+
+def _children(level: int, path: Column, tree: Column, sig: Column) -> Column:
     """The children that a node sends a class to: hashes of (path, position, token there)."""
-    if level == 0:  # the root of each tree; its positions are fixed
-        spots = [(t, p) for t in range(TREES) for p in range(BRANCHES)]
-        return F.array(*[F.xxhash64(F.lit(t), F.lit(p), sig[t * DEPTH * PER_LEVEL + p]) for t, p in spots])
-    tree = F.col("tree") * (DEPTH * PER_LEVEL) + level * PER_LEVEL
     first = F.pmod(path, F.lit(PER_LEVEL)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.shiftright(path, 20), F.lit(PER_LEVEL - 1)).cast("int"), F.lit(PER_LEVEL))
-    return F.array(*[F.xxhash64(path, p, F.element_at(sig, tree + p + 1)) for p in (first, second)])
+    pool = tree * POOL + level * PER_LEVEL % POOL
+    return F.array(*[F.xxhash64(path, p, F.element_at(sig, pool + p + 1)) for p in (first, second)])
+
+
+def _alike(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The paths of nodes (path, pivot, cls) whose classes agree with the pivot at most positions."""
+    pivots = nodes.select("path", "pivot").distinct().join(sigs.withColumnRenamed("cls", "pivot"), "pivot").select("path", F.col("sig").alias("of"))
+    agree = F.size(F.filter(F.zip_with("sig", "of", lambda a, b: a == b), lambda x: x)) / POSITIONS
+    return nodes.join(sigs, "cls").join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("agree")).filter(F.col("agree") >= ALIKE).select("path")
 
 
 def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """(path, cls, n, late) of every node to be compared: those of up to LEAF classes, and the
-    deepest. late is false under the first branch of the first tree."""
+    """(path, cls, n, late) of every node to be compared: small ones, and those whose classes are alike.
+    late is false under the first branch of the first tree."""
     sigs = classes.select("cls", "sig")
-    at = sigs.select("cls", F.posexplode(_paths(0, None, F.col("sig"))).alias("spot", "path"))
+    at = sigs.select("cls", F.posexplode(_roots(F.col("sig"))).alias("spot", "path"))
     at = at.select("cls", F.floor(F.col("spot") / BRANCHES).cast("int").alias("tree"), (F.col("spot") > 0).alias("late"), "path")
-    found = None
-    for level in range(DEPTH):
-        counts = at.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    parts, scratch = [], []
+    for level in range(1, LEVELS + 1):
+        counts = at.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls"), "cls"))["cls"].alias("pivot")).filter("n > 1")
         here = stored(spark, at.join(counts, "path"), "nodes")
-        last = level == DEPTH - 1
-        done = here if last else here.filter(F.col("n") <= LEAF)
-        found = done if found is None else found.unionByName(done)
-        if not last:
-            more = here.filter(F.col("n") > LEAF)
-            if not more.limit(1).count():
-                break
-            at = more.join(sigs, "cls").select("cls", "tree", "late", F.explode(_paths(level + 1, F.col("path"), F.col("sig"))).alias("path"))
+        scratch.append(here)
+        large = here.filter(F.col("n") > LEAF)
+        if level == LEVELS or not large.limit(1).count():
+            parts.append(here)
+            break
+        alike = stored(spark, _alike(large, sigs), "alike")
+        scratch.append(alike)
+        parts += [here.filter(F.col("n") <= LEAF), large.join(alike, "path", "left_semi")]
+        at = large.join(alike, "path", "left_anti").join(sigs, "cls").select("cls", "tree", "late", F.explode(_children(level, F.col("path"), F.col("tree"), F.col("sig"))).alias("path"))
+    found = reduce(DataFrame.unionByName, [p.select("path", "cls", "n", "late") for p in parts])
     # nodes with the same members are compared once
     prints = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"print{k}") for k in range(2)]
     of = found.groupBy("path", "late").agg(F.first("n").alias("n"), *prints)
     one = of.groupBy("n", "print0", "print1").agg(F.min(F.struct("late", "path"))["path"].alias("path"))
-    return stored(spark, found.join(one.select("path"), "path", "left_semi").select("path", "cls", "n", "late"), "nodes")
+    out = stored(spark, found.join(one.select("path"), "path", "left_semi"), "nodes")
+    dropped(spark, *scratch)
+    return out
 
 
 _LINK = ("a binary, b binary", ["a", "b"], [pa.binary(), pa.binary()])

@@ -14,21 +14,21 @@ def test_lower_word_hashes(tail):
     rng = random.Random(3)
     words = [bytes(rng.choice(b"abcXYZ\xc3\xa9\x1c\x85\x00") for _ in range(rng.randint(1, 4))) for _ in range(60_000)]
     raw = b"".join(w + rng.choice([b" ", b"\n\t", b"\x0b\x0c", b"\r"]) for w in words) + tail
-    got, want, of = common.lower_word_hashes(raw, common.WordHashes()).tolist(), raw.lower().split(), {}
+    got, want, of = common.lower_word_hashes(raw).tolist(), raw.lower().split(), {}
     assert len(got) == len(want)
     assert all(of.setdefault(w, h) == h for w, h in zip(want, got, strict=True))
     assert len(set(of.values())) == len(of)
 
 
 def test_lower_word_hashes_of_nothing():
-    assert len(common.lower_word_hashes(b"", common.WordHashes())) == len(common.lower_word_hashes(b" \n", common.WordHashes())) == 0
+    assert len(common.lower_word_hashes(b"")) == len(common.lower_word_hashes(b" \n")) == 0
 
 
 def test_words_that_a_polynomial_hash_confuses():
     """Thue-Morse words and their complements collide in any polynomial hash modulo 2^64."""
     bits = [bin(k).count("1") & 1 for k in range(2048)]
     texts = [b" ".join(bytes(97 + (b ^ flip) for b in bits) for _ in range(5)) for flip in (0, 1)]
-    a, b = (common.shingle_set(common.lower_word_hashes(t, common.WordHashes())).tolist() for t in texts)
+    a, b = (common.shingle_set(common.lower_word_hashes(t)).tolist() for t in texts)
     assert a != b
 
 
