@@ -187,34 +187,41 @@ def lower_word_hashes(raw: bytes) -> np.ndarray:
     Texts are taken in pieces that end between words, so that memory is bounded; words of more than
     PLACES bytes are hashed one by one.
     """
-    out, at = [], 0
+    return placed_word_hashes(raw)[0]
+
+
+def placed_word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """lower_word_hashes(), and the place where each word starts."""
+    out, at = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
     while at < len(raw):
         gap = _GAP.search(raw, at + PIECE)
         end = gap.start() if gap else len(raw)
-        out.append(_piece_hashes(raw[at:end]))
+        h, starts = _piece_hashes(raw[at:end])
+        out.append((h, starts + at))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _piece_hashes(raw: bytes) -> np.ndarray:
+def _piece_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(raw, np.uint8)
     gap = _GAPS[b]
     first = ~gap
     first[1:] &= gap[:-1]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    b, gap, starts = b[starts[0] :], gap[starts[0] :], starts - starts[0]
+        return np.zeros(0, np.uint64), starts
+    lead = starts[0]
+    b, gap, starts = b[lead:], gap[lead:], starts - lead
     place = np.arange(len(b)) - np.repeat(starts, np.diff(np.append(starts, len(b))))
     values = _OF_PLACE[np.minimum(place, PLACES - 1) * 256 + _FOLD[b]]
     values[gap] = 0
     out = np.add.reduceat(values, starts)
     if len(b) > PLACES:
-        lead = len(raw) - len(b)
-        for k in np.flatnonzero((sizes := np.add.reduceat(~gap, starts, dtype=np.int64)) > PLACES):
+        sizes = np.add.reduceat(~gap, starts, dtype=np.int64)
+        for k in np.flatnonzero(sizes > PLACES):
             at = lead + starts[k]
             out[k] = xxhash.xxh3_64_intdigest(raw[at : at + sizes[k]].lower())
-    return out
+    return out, starts + lead
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

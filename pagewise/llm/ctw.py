@@ -10,9 +10,11 @@ before its start are zero bytes.
 Training and scoring need only counts of (context, byte) grams, and those of a chunk of documents
 are few. Each chunk sends its distinct grams with their training counts, once each, to buckets of
 the last two context bytes. A bucket holds whole subtrees below depth two, so it does the weighting
-bottom-up, and gives each chunk the log-probability of each of its grams. Depths zero and one
-combine at most 65,536 subtrees; their table is made by the driver. Words for the unigram base go
-the same way, by 64-bit hashes. Nothing that grows with the corpus is broadcast or collected.
+bottom-up, some subtrees at a time, and gives each chunk the log-probability of each of its grams.
+What subtrees add to depth one is summed by key, at most 256 x 255 rows, which the driver turns into
+the table of depths zero and one. Words for the unigram base go the same way, by 64-bit hashes; ends
+are counted apart. Nothing that grows with the corpus is broadcast or collected, and a chunk sends
+at most 2 x BUCKETS blobs, however many chunks there are.
 
 Edge cases: a null text is empty: it has one token, the end; a null doc_id belongs to the training
 part; repeated rows are counted and scored each; an empty table gives an empty result; extra
@@ -23,19 +25,21 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import U, byte_texts, chunked, mixed, pack, pack_keys, stored, unpack, unpack_keys
+from .common import U, byte_texts, chunked, mixed, pack, pack_keys, placed_word_hashes, stored, unpack, unpack_keys
 
 DEPTH = 5
-CHUNK_BYTES = 6 << 20
-END = 0xFF
+#: Text of a chunk, and of the part of one that is worked on at a time; grams of the subtrees that are.
+CHUNK_BYTES, PART, SUBTREES = 24 << 20, 6 << 20, 1 << 18
+#: Buckets at most: contexts of two bytes, the unit that grams are dealt by.
+BUCKETS = 1 << 16
 _GRAMS, _WORDS = 0, 1
 
 
@@ -142,18 +146,31 @@ def tree_levels(grams: np.ndarray, counts: np.ndarray, deepest: int, shallowest:
 
 
 class Chunk:
+    """The documents of a chunk, worked on in parts of about PART bytes."""
+
     def __init__(self, table: pa.Table, depth: int, modulus: int, remainder: int):
         self.ids = table.column("doc_id").to_pylist()
-        self.texts = [t or b"" for t in byte_texts(table.column("text"))]
         self.held = np.array([is_held_out(i, modulus, remainder) for i in self.ids], bool)
-        self.depth = depth
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        self.depth, self.texts = depth, table.column("text")
+
+    def parts(self) -> Iterator[tuple[int, list[bytes]]]:
+        """(number of the first document, texts), a part at a time."""
+        first, held, size = 0, [], 0
+        for k in range(len(self.ids)):
+            held += [t or b"" for t in byte_texts(self.texts.slice(k, 1))]
+            size += len(held[-1])
+            if size >= PART:
+                yield first, held
+                first, held, size = k + 1, [], 0
+        if held:
+            yield first, held
+
+    def grams(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The gram of every byte and end, and the document of each. The newest context byte is the
         uppest, so grams in order have subtrees together."""
         pad = b"\0" * self.depth
-        data = np.frombuffer(pad.join([b"", *[t + b"\xff" for t in self.texts]]), np.uint8)
-        sizes = np.array([len(t) + 1 for t in self.texts], np.int64)
+        data = np.frombuffer(pad.join([b"", *[t + b"\xff" for t in texts]]), np.uint8)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(doc)) + (doc + 1) * self.depth
         wide = np.zeros(len(data), np.uint64)
@@ -162,8 +179,26 @@ class Chunk:
         wide |= data
         return wide[at], doc
 
-    def words(self) -> list[list[bytes]]:
-        return [[*t.lower().split(), b"\xff"] for t in self.texts]
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every word, and the document of each. Ends aren't among them."""
+        h, at = placed_word_hashes(b"\n".join(texts))
+        starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        return h, np.searchsorted(starts, at, "right") - 1
+
+    def counted(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, sorted keys, training counts) of the distinct grams and words."""
+        found = {_GRAMS: [], _WORDS: []}
+        for first, texts in self.parts():
+            held = self.held[first : first + len(texts)]
+            for kind, (keys, doc) in ((_GRAMS, self.grams(texts)), (_WORDS, self.words(texts))):
+                which, distinct = pd.factorize(keys)  # by hashing; only distinct keys are sorted
+                found[kind].append((distinct, np.bincount(which[~held[doc]], minlength=len(distinct))))
+        out = []
+        for kind, parts in found.items():
+            keys, which = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([c for _, c in parts] or [np.zeros(0)]), len(keys))
+            out.append((kind, keys, n.astype(np.int64)))
+        return out
 
 
 def _bucket(keys: np.ndarray, kind: int, depth: int, buckets: int) -> np.ndarray:
@@ -181,14 +216,6 @@ def _lots(keys: np.ndarray, kind: int, depth: int, buckets: int) -> list[tuple[i
     return [(i, order[edges[i] : edges[i + 1]]) for i in range(buckets) if edges[i] < edges[i + 1]]
 
 
-def _distinct_words(lists: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Each word's place among the chunk's sorted word hashes, and those hashes."""
-    seen = list(set().union(*lists))
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
-    keys, place = np.unique(h, return_inverse=True)
-    return dict(zip(seen, place.tolist(), strict=True)), keys
-
-
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
@@ -201,23 +228,8 @@ _BLOBS_DDL = "kind int, bucket int, chunk int, blob binary"
 def _send(depth: int, modulus: int, remainder: int, buckets: int):
     def fn(table: pa.Table) -> pa.Table:
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, depth, modulus, remainder)
-        grams, doc = chunk.grams()
-        which, found = pd.factorize(grams)  # by hashing; only distinct grams are sorted
-        n = np.bincount(which[~chunk.held[doc]], minlength=len(found))
-        order = np.argsort(found)
-        sent = [(_GRAMS, found[order], n[order])]
-        lists = chunk.words()
-        place, keys = _distinct_words(lists)
-        counted: Counter = Counter()
-        for ws, held in zip(lists, chunk.held, strict=True):
-            if not held:
-                counted.update(ws)
-        n = np.zeros(len(keys), np.int64)
-        for w, c in counted.items():
-            n[place[w]] += c
-        sent.append((_WORDS, keys, n))
         rows = []
-        for kind, keys, n in sent:
+        for kind, keys, n in chunk.counted():
             rows += [(kind, b, number, pack_keys(keys[at], n[at])) for b, at in _lots(keys, kind, depth, buckets)]
         return _rows(rows, *_BLOBS)
 
@@ -235,46 +247,59 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     return keys, counts, places
 
 
-_SUMMARY = (["kind", "blob"], [pa.int32(), pa.binary()])
+def _subtrees(keys: np.ndarray, depth: int) -> Iterator[slice]:
+    """Ranges of sorted grams that hold whole subtrees below depth two, of about SUBTREES grams each, so
+    that the nodes of a few subtrees are held at a time, and not a bucket's."""
+    pair = keys >> U(8 * (depth - 1))
+    ends = np.flatnonzero(np.append(pair[1:] != pair[:-1], True)) + 1
+    lo = 0
+    while lo < len(keys):
+        hi = int(ends[min(np.searchsorted(ends, lo + SUBTREES), len(ends) - 1)])
+        yield slice(lo, hi)
+        lo = hi
+
+
+_SUMMARY = (["kind", "key", "zeros", "ones", "log_w"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()])
+_SUMMARY_DDL = "kind int, key bigint, zeros bigint, ones bigint, log_w double"
 
 
 def _summarise(depth: int):
-    """Of grams: the nodes at depth two, with counts and log P_w. Of words: how many, and how many distinct."""
+    """Of grams: what subtrees add to the nodes at depth one, counts and log P_w. Of words, in the places of
+    counts: how many, and how many distinct."""
 
     def fn(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         keys, counts, _ = _merged(table)
         if kind == _WORDS:
-            return _rows([(kind, pack(np.array([counts.sum()]), np.array([(counts > 0).sum()])))], *_SUMMARY)
-        levels = tree_levels(keys, counts, depth, 2)
-        log_w, _ = weigh(levels)
-        top = levels[0]
-        return _rows([(kind, pack(top.keys, top.zeros, top.ones, log_w[0], ))], *_SUMMARY)
+            return _rows([(kind, 0, int(counts.sum()), int((counts > 0).sum()), 0.0)], *_SUMMARY)
+        out = []
+        for some in _subtrees(keys, depth):
+            levels = tree_levels(keys[some], counts[some], depth, 2)
+            two, (log_w, *_) = levels[0], weigh(levels)[0]
+            one, which = np.unique((two.keys >> U(16) << U(8)) | (two.keys & U(0xFF)), return_inverse=True)
+            out.append([one.astype(np.int64), *(np.bincount(which, x, len(one)) for x in (two.zeros, two.ones, log_w))])
+        one, zeros, ones, log_w = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table([pa.array(np.full(len(one), _GRAMS, np.int32)), pa.array(one), pa.array(zeros.astype(np.int64)), pa.array(ones.astype(np.int64)), pa.array(log_w)], names=_SUMMARY[0])
 
     return fn
 
 
 class Top:
-    """Depths zero and one: got and left for each node of depth one, by its key."""
+    """Depths zero and one: got and left for each node of depth one, by its key. At most 256 x 255 nodes."""
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_w: np.ndarray):
-        one, which = np.unique((keys >> U(16) << U(8)) | (keys & U(0xFF)), return_inverse=True)
-        levels = [self._nodes(one & U(0xFF), *self._summed(one & U(0xFF), one, which, zeros, ones)), self._nodes(one, np.bincount(which, zeros, len(one)), np.bincount(which, ones, len(one)))]
-        log_1, stop = weigh(levels, np.bincount(which, log_w, len(one)))
-        n = len(levels[0].keys)
-        self.keys = one
+        """Sorted keys of depth one, with counts and the log P_w of what lies below."""
+        root, which = np.unique(keys & U(0xFF), return_inverse=True)
+        levels = [self._nodes(root, np.bincount(which, zeros, len(root)), np.bincount(which, ones, len(root))), self._nodes(keys, zeros, ones)]
+        _, stop = weigh(levels, log_w)
+        n = len(root)
+        self.keys = keys
         self.got, self.left = descend(levels, stop, np.zeros(n), np.ones(n))
 
-    @staticmethod
-    def _summed(prefix, one, which, zeros, ones):
-        z, o = np.bincount(which, zeros, len(one)), np.bincount(which, ones, len(one))
-        keys, at = np.unique(prefix, return_inverse=True)
-        return np.bincount(at, z, len(keys)), np.bincount(at, o, len(keys))
-
     @staticmethod
     def _nodes(keys, zeros, ones) -> Nodes:
         out = Nodes.__new__(Nodes)
-        out.keys, out.zeros, out.ones = np.unique(keys), zeros, ones
+        out.keys, out.zeros, out.ones = keys, zeros, ones
         out.log_e = log_kt(zeros, ones)
         out.kt_one = (ones + 0.5) / (zeros + ones + 1.0)
         return out
@@ -286,19 +311,20 @@ def _answer(depth: int, top):
     def fn(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         keys, counts, places = _merged(table)
+        values = counts
         if kind == _GRAMS:
-            levels = tree_levels(keys, counts, depth, 2)
-            _, stop = weigh(levels)
-            at = np.searchsorted(top.value.keys, (levels[0].keys >> U(16) << U(8)) | (levels[0].keys & U(0xFF)))
-            got, _ = descend(levels, stop, top.value.got[at], top.value.left[at])
-            deepest, log_p = levels[-1], np.zeros(len(keys))
-            for level in range(8):
-                one = got[deepest.of[level]]
-                up = (keys >> U(7 - level)) & U(1)
-                log_p += np.log10(np.where(up, one, 1 - one))
-            values = log_p.astype(np.float32)
-        else:
-            values = counts
+            values = np.empty(len(keys), np.float32)
+            for some in _subtrees(keys, depth):
+                levels = tree_levels(keys[some], counts[some], depth, 2)
+                _, stop = weigh(levels)
+                at = np.searchsorted(top.value.keys, (levels[0].keys >> U(16) << U(8)) | (levels[0].keys & U(0xFF)))
+                got, _ = descend(levels, stop, top.value.got[at], top.value.left[at])
+                deepest, log_p = levels[-1], np.zeros(some.stop - some.start)
+                for level in range(8):
+                    one = got[deepest.of[level]]
+                    up = (keys[some] >> U(7 - level)) & U(1)
+                    log_p += np.log10(np.where(up, one, 1 - one))
+                values[some] = log_p
         chunks = table.column("chunk").to_pylist()
         return _rows([(kind, bucket, c, pack(values[p])) for c, p in zip(chunks, places, strict=True)], *_BLOBS)
 
@@ -309,35 +335,36 @@ _RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
 _RESULT_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
 
-def _score(depth: int, modulus: int, remainder: int, buckets: int, tokens: int, distinct: int):
+def _score(depth: int, modulus: int, remainder: int, buckets: int, tokens: int, distinct: int, ends: int):
     def fn(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows([], list(_RESULT), list(_RESULT.values()))
         chunk = Chunk(docs, depth, modulus, remainder)
         blobs = {(k, b): x for k, b, x in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("blob").to_pylist(), strict=True)}
-
-        def table_of(keys, kind, dtype):
-            out = np.zeros(len(keys), dtype)
+        model = {}
+        for kind, keys, _ in chunk.counted():
+            values = np.zeros(len(keys), np.float32 if kind == _GRAMS else np.int64)
             for b, at in _lots(keys, kind, depth, buckets):
-                out[at] = unpack(blobs[kind, b], dtype)[0]
-            return out
-
-        grams, doc = chunk.grams()
-        which, found = pd.factorize(grams)  # by hashing: far cheaper than an argsort of every position
-        order = np.argsort(found)
-        values = np.empty(len(found))
-        values[order] = table_of(found[order], _GRAMS, np.float32)
-        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        score = np.add.reduceat(values[which], starts)
-        lists = chunk.words()
-        place, keys = _distinct_words(lists)
-        known = table_of(keys, _WORDS, np.int64)
-        log_p = np.log10((known + 1) / (tokens + distinct + 1))
+                values[at] = unpack(blobs.pop((kind, b)), values.dtype)[0]
+            model[kind] = keys, values
+
+        def values_of(kind: int, keys: np.ndarray) -> np.ndarray:
+            which, found = pd.factorize(keys)
+            known, values = model[kind]
+            return values[np.searchsorted(known, found)][which]
+
+        log_unseen = math.log10(tokens + distinct + 1)
         rows = []
-        for i, ws in enumerate(lists):
-            at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-            size = len(chunk.texts[i]) + 1
-            rows.append((chunk.ids[i], bool(chunk.held[i]), len(ws), int((known[at] > 0).sum()), tokens, float(log_p[at].sum()), float(score[i]), size, float(-score[i] * math.log2(10) / size)))
+        for first, texts in chunk.parts():
+            grams, doc = chunk.grams(texts)
+            score = np.add.reduceat(values_of(_GRAMS, grams), np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), dtype=np.float64)
+            words, doc = chunk.words(texts)
+            counts = values_of(_WORDS, words)
+            n, known = np.bincount(doc, minlength=len(texts)), np.bincount(doc[counts > 0], minlength=len(texts))
+            base = np.bincount(doc, np.log10(counts + 1), len(texts)) + math.log10(ends + 1) - (n + 1) * log_unseen
+            for i, text in enumerate(texts):
+                size = len(text) + 1
+                rows.append((chunk.ids[first + i], bool(chunk.held[first + i]), int(n[i]) + 1, int(known[i]) + int(ends > 0), tokens, float(base[i]), float(score[i]), size, float(-score[i] * math.log2(10) / size)))
         return _rows(rows, list(_RESULT), list(_RESULT.values()))
 
     return fn
@@ -350,19 +377,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, *, depth: int = DEPTH, mod
     Learns from the rows whose crc32(doc_id as text) mod `modulus` isn't `remainder`. depth: 3 to 6.
     """
     table, n = chunked(spark, docs, chunk_bytes)
+    buckets = min(n, BUCKETS)
     by_chunk = table.groupBy("chunk")
-    sent = stored(spark, by_chunk.applyInArrow(_send(depth, modulus, remainder, n), _BLOBS_DDL), "grams")
+    sent = stored(spark, by_chunk.applyInArrow(_send(depth, modulus, remainder, buckets), _BLOBS_DDL), "grams")
     by_bucket = sent.groupBy("kind", "bucket")
-    summary = by_bucket.applyInArrow(_summarise(depth), "kind int, blob binary").collect()
-    tokens = distinct = 0
-    nodes = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.float64)]
-    for kind, blob in summary:
-        if kind == _WORDS:
-            t, d = unpack(blob, np.int64, np.int64)
-            tokens, distinct = tokens + int(t[0]), distinct + int(d[0])
-        else:
-            for all_, part in zip(nodes, unpack(blob, np.uint64, np.int64, np.int64, np.float64), strict=True):
-                all_.append(part)
-    top = spark.sparkContext.broadcast(Top(*[np.concatenate(x) for x in nodes]))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+    ends = table.filter(~held).count()
+    sums = by_bucket.applyInArrow(_summarise(depth), _SUMMARY_DDL).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "log_w")])
+    found = sums.orderBy("kind", "key").toPandas()
+    words, nodes = found[found.kind == _WORDS], found[found.kind == _GRAMS]
+    tokens, distinct = int(words.zeros.sum()) + ends, int(words.ones.sum()) + int(ends > 0)
+    top = spark.sparkContext.broadcast(Top(nodes.key.to_numpy().astype(np.uint64), nodes.zeros.to_numpy(), nodes.ones.to_numpy(), nodes.log_w.to_numpy()))
     told = by_bucket.applyInArrow(_answer(depth, top), _BLOBS_DDL)
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_score(depth, modulus, remainder, n, tokens, distinct), _RESULT_DDL)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_score(depth, modulus, remainder, buckets, tokens, distinct, ends), _RESULT_DDL)
