@@ -42,7 +42,7 @@ from .common import U, byte_texts, chunked, dropped, mixed, pack, pack_keys, sto
 SPAN, K = 100, 24
 OFFSETS = SPAN - K + 1  # places of an anchor in a window, 0 to OFFSETS - 1
 SHALLOW = 32
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 24 << 20
 #: Windows of a chunk, and contexts of a chunk or bucket, that are worked on at a time.
 SLICE, PIECE = 1 << 18, 1 << 14
 #: Distinct contexts up to which an anchor's are sorted together; those of a hotter one are spread by window.
@@ -395,15 +395,16 @@ def repeated_windows(least: np.ndarray, most: np.ndarray, around: np.ndarray) ->
 
 def _find_windows(table: pa.Table) -> pa.Table:
     """Sorts a bucket's contexts, some anchors at a time, and tells chunks the runs of repeated windows."""
-    metas, around, chunks = [], [], []
-    for chunk, blob in zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        size = int.from_bytes(blob[:4], "big")
-        meta = unpack_keys(blob[4 : 4 + size], *_META)
-        metas.append(meta)
-        around.append(np.frombuffer(zlib.decompress(blob[4 + size :]), np.uint8).reshape(len(meta[0]), OFFSETS - 1 + SPAN))
-        chunks.append(np.full(len(meta[0]), chunk, np.int32))
+    blobs = table.column("blob")
+    head = lambda k: int.from_bytes(blobs[k].as_buffer()[:4].to_pybytes(), "big")
+    metas = [unpack_keys(blobs[k].as_buffer()[4 : 4 + head(k)].to_pybytes(), *_META) for k in range(table.num_rows)]
+    sizes = [len(m[0]) for m in metas]
+    chunks = np.repeat(np.array(table.column("chunk").to_pylist(), np.int32), sizes)
     h, late, key, docs, starts, least, most = (np.concatenate(x) for x in zip(*metas, strict=True))
-    around, chunks = np.concatenate(around), np.concatenate(chunks)
+    around, at = np.empty((len(h), OFFSETS - 1 + SPAN), np.uint8), 0
+    for k, n in enumerate(sizes):  # unpacked one by one into place
+        around[at : at + n] = np.frombuffer(zlib.decompress(blobs[k].as_buffer()[4 + head(k) :]), np.uint8).reshape(n, -1)
+        at += n
     order = np.lexsort((starts, docs, key, late, h))
     ends = np.flatnonzero(np.append(np.diff(h[order]) != 0, True)) + 1  # of each anchor's contexts
     spans, lo = [], 0
