@@ -101,14 +101,16 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
-    """(id, text_hash, gone, most): the places of the lines that a document has to drop, and the
-    characters of its recurring lines that one document has first, the most of any."""
-    sizes = F.transform(lines_of(F.col("text")), lambda x: F.length(x))
-    per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("keys"), sizes.alias("sizes"))
-    lines = stored(spark, per_doc, "templates").select("id", "text_hash", "sizes", F.posexplode("keys").alias("place", "line_keys")).filter(F.size("line_keys") > 0)
-    lines = lines.withColumn("size", F.get("sizes", F.col("place"))).drop("sizes")
-    rows = lines.select("id", "text_hash", "place", "size", F.explode("line_keys").alias("key"))
+def drops(spark: SparkSession, docs: DataFrame, min_docs: int, weighed: bool) -> DataFrame:
+    """(id, text_hash, gone): the places of the lines that a document has to drop. If weighed, also most:
+    the characters of its recurring lines that one document has first, the most of any."""
+    sizes = [F.transform(lines_of(F.col("text")), lambda x: F.length(x)).alias("sizes")] if weighed else []
+    per_doc = docs.filter("text is not null").select(_id().alias("id"), F.xxhash64("text").alias("text_hash"), line_keys(F.col("text")).alias("keys"), *sizes)
+    table = stored(spark, per_doc, "templates")
+    lines = table.select(*[c for c in table.columns if c != "keys"], F.posexplode("keys").alias("place", "line_keys")).filter(F.size("line_keys") > 0)
+    if weighed:
+        lines = lines.withColumn("size", F.get("sizes", F.col("place"))).drop("sizes")
+    rows = lines.select(*[c for c in lines.columns if c != "line_keys"], F.explode("line_keys").alias("key"))
     of = lambda kind: F.col("key").bitwiseAND(F.lit(3)) == kind
     several = [F.count_distinct("id").alias("n")] if min_docs > 2 else []
     # a template recurs across documents if the first and the last that have it differ
@@ -118,6 +120,8 @@ def drops(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
     wholes = lines.select("id", F.element_at("line_keys", 1).alias("whole"), F.explode("line_keys").alias("key")).filter(of(ONE_OUT))
     varied = wholes.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("whole").alias("lines"), *several).filter(recurs & (F.col("lines") >= VALUES))
     found = found.select("key", "first").unionByName(short.select("key", "first")).unionByName(varied.select("key", "first"))
+    if not weighed:
+        return rows.join(found, "key").filter(F.col("id") > F.col("first")).groupBy("id", "text_hash").agg(F.collect_set("place").alias("gone"))
     # dealt by document once; what follows groups by more than that
     hits = rows.join(found, "key").select("id", "text_hash", "place", "size", "first").repartition("id", "text_hash")
     hits = hits.groupBy("id", "text_hash", "place").agg(F.min("first").alias("first"), F.max("size").alias("size"))
@@ -138,7 +142,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_docs: int = 2, spar
     """
     docs, _ = set_aside(docs, ("n_lines", "n_dropped"))
     id_, hash_, gone_, most_, kept_ = (unused_name(docs, x) for x in ("_id", "_hash", "_gone", "_most", "_kept"))
-    gone = drops(spark, docs, min_docs).select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("gone").alias(gone_), F.col("most").alias(most_))
+    gone = drops(spark, docs, min_docs, spare_copies).withColumnsRenamed({"id": id_, "text_hash": hash_, "gone": gone_, "most": most_})
     out = docs.join(gone, (_id() == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left")
     cut = F.size(gone_) > 0
     if spare_copies:
