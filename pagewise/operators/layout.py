@@ -82,6 +82,12 @@ def lines_of(placed: DataFrame) -> DataFrame:
     )
 
 
+def scan_text(lines: DataFrame) -> DataFrame:
+    """(file_id, page, text): a page's lines, a line feed between."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"])
+    return lines.groupBy(*PAGE).agg(F.array_join(rows, "\n").alias("text"))
+
+
 def attach_human(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """regions (file_id, page, region_idx, y, h) with the line_no that each belongs to, null if to none:
     the line it overlaps most, by at least half of the shorter; the last of equals. And before_line: for

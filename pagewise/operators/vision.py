@@ -5,9 +5,12 @@ The same measures over whole rasters, in numpy, are in sources/raster.py.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+from .confidence import nearest_rank
+
 SIDEWAYS = 1.3
 
 
@@ -54,3 +57,22 @@ def projection_variance(ink: DataFrame, angles: list[float]) -> DataFrame:
     n = F.first("height").cast("double")
     mean = F.sum("c") / n
     return rows.groupBy("image_id", "angle").agg((F.sum(F.col("c") * F.col("c")) / n - mean * mean).alias("variance"))
+
+
+SLOPE_POINTS = 120
+
+
+def theil_sen(x: Column, y: Column) -> Column:
+    """(slope, intercept) of a line through points in arrays x and y: the median slope between evenly spaced
+    points, at most SLOPE_POINTS of them, and the median intercept of all; null without a slope."""
+    n = F.size(x)
+    step = F.greatest(F.ceil(n / SLOPE_POINTS).cast("int"), F.lit(1))
+    at = lambda a, i: F.get(a, i)
+    ends = lambda i: F.when(i + step < n, F.sequence(i + step, n - 1, step)).otherwise(F.array().cast("array<int>"))
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1, step), lambda i: F.transform(ends(i), lambda j: F.when(at(x, j) != at(x, i), (at(y, j) - at(y, i)) / (at(x, j) - at(x, i))))))
+    slopes = F.sort_array(F.filter(pairs, lambda s: s.isNotNull()))
+
+    def line(slope: Column) -> Column:
+        return F.when(slope.isNotNull(), F.struct(slope.alias("slope"), nearest_rank(F.sort_array(F.zip_with(x, y, lambda a, b: b - slope * a)), 0.5).alias("intercept")))
+
+    return F.when(n >= 2, bound(nearest_rank(slopes, 0.5), line))

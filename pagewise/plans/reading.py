@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..limits import Limits
 from ..ocr import engine as ocr
-from ..operators import read, route, scan
+from ..operators import layout, read, route, scan, vision
 from ..sources import archive, raster
-from . import samples
+from . import catalog, samples
 from .catalog import query, table
 
 
@@ -214,8 +215,12 @@ def _images(spark, sf_dir, scale: int):
 @query(_LEVELS + "SELECT file_id::BIGINT AS file_id, 8 AS width, 8 AS height, sum(v * (i + 1))::BIGINT AS checksum FROM px GROUP BY file_id")
 def prepare_images(spark, sf_dir):
     got = scan.prepare_images(_images(spark, sf_dir, 1), profile="rendered_page", key="file_id")
+    return _checksums(got, "width", "height")
+
+
+def _checksums(images: DataFrame, *more: str) -> DataFrame:
     level = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i + 1, F.lit(1))), 16, 10).cast("long") * (i + 1))
-    return got.select("file_id", "width", "height", F.aggregate(level, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+    return images.select("file_id", *more, F.aggregate(level, F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
 
 
 class Quarters:
@@ -244,3 +249,51 @@ def scan_images(spark, sf_dir):
     engine = ocr.Engine(Quarters(), Greys(), ocr.profile("rendered_page"))
     docs = read.read_documents(_images(spark, sf_dir, 4), backend=engine)
     return docs.select("file_id", "markdown", F.size("ocr_pages").cast("long").alias("recognised"), F.size("unresolved_pages").cast("long").alias("unresolved"), F.regexp_replace("receipt", ", in .*", "").alias("receipt"))
+
+
+_HUMAN = catalog._REGIONS + """, f AS (SELECT g.file_id, (o.o_custkey * 11 % 400)::DOUBLE AS rx, t.line_no, (SELECT min(line_no) FROM ln WHERE ln.file_id = g.file_id AND ln.baseline_y > g.ry + g.rh / 2) AS before
+  FROM g JOIN orders o ON o.o_orderkey = g.file_id LEFT JOIN t ON g.file_id = t.file_id AND t.k = 1),
+cells AS (SELECT l.file_id, l.line_no, l.text, l.x, 0 AS kind, row_number() OVER (PARTITION BY l.file_id, l.line_no ORDER BY l.x, l.cy, l.box_idx) AS pos FROM l UNION ALL SELECT file_id, line_no, '[handwritten]', rx, 1, 0 FROM f WHERE line_no IS NOT NULL),
+h AS (SELECT file_id, line_no::DOUBLE AS k, string_agg(text, ' ' ORDER BY x, kind, pos) AS text FROM cells GROUP BY ALL UNION ALL SELECT file_id, coalesce(before, 1000000) - 0.5, '[handwritten]' FROM f WHERE line_no IS NULL) """
+
+
+def _written(spark, sf_dir):
+    placed = layout.group_into_lines(layout.split_columns(catalog._boxes(spark, sf_dir)))
+    x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") * 11 % 400).cast("double").alias("x"))
+    return layout.lines_with_human(placed, catalog._regions(spark, sf_dir).join(x, "file_id"))
+
+
+@query(_HUMAN + "SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS line_no, text FROM h")
+def human_lines(spark, sf_dir):
+    return _written(spark, sf_dir).select("file_id", F.col("line_no").cast("long").alias("line_no"), "text")
+
+
+@query(_HUMAN + "SELECT file_id, string_agg(text, chr(10) ORDER BY k) AS text FROM h GROUP BY file_id")
+def scan_text(spark, sf_dir):
+    return layout.scan_text(_written(spark, sf_dir)).select("file_id", "text")
+
+
+@query("""WITH p AS (SELECT vec_id, unnest(range(64)) AS x, unnest(embedding::DOUBLE[]) AS y FROM embeddings),
+s AS (SELECT a.vec_id, list_sort(list((b.y - a.y) / (b.x - a.x))) AS ss FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.x < b.x GROUP BY a.vec_id),
+m AS (SELECT vec_id, ss[round(0.5 * (len(ss) - 1))::INT + 1] AS slope FROM s)
+SELECT vec_id, round(slope, 9) AS slope, round((list_sort(list(y - slope * x)))[round(0.5 * 63)::INT + 1], 9) AS intercept FROM p JOIN m USING (vec_id) GROUP BY vec_id, slope""")
+def theil_sen(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    line = vision.theil_sen(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("double")), F.col("embedding").cast("array<double>"))
+    return e.select("vec_id", line.alias("l")).select("vec_id", F.round("l.slope", 9).alias("slope"), F.round("l.intercept", 9).alias("intercept"))
+
+
+@query(_LEVELS + "SELECT file_id::BIGINT AS file_id, sum(least(255, v * 255 // greatest(1, bg)) * (i + 1))::BIGINT AS checksum FROM px JOIN (SELECT file_id, sum(v) // 64 AS bg FROM px GROUP BY file_id) USING (file_id) GROUP BY file_id")
+def flatten_lighting(spark, sf_dir):
+    """On pages of 8 x 8 pixels the neighbourhood of each is the whole page."""
+    only = ocr.ScanOptions(crop_to_content=False, fix_orientation=False, fix_skew=False)
+    return _checksums(scan.prepare_images(_images(spark, sf_dir, 1), options=only, key="file_id"))
+
+
+@query(_LEVELS + "SELECT file_id::BIGINT AS file_id, sum(v * (8 * CASE file_id % 4 WHEN 1 THEN i % 8 WHEN 2 THEN 7 - i // 8 WHEN 3 THEN 7 - i % 8 ELSE i // 8 END + CASE file_id % 4 WHEN 1 THEN 7 - i // 8 WHEN 2 THEN 7 - i % 8 WHEN 3 THEN i // 8 ELSE i % 8 END + 1))::BIGINT AS checksum FROM px WHERE file_id % 4 <> 2 GROUP BY file_id")
+def turn_images(spark, sf_dir):
+    """Each page by the turn that is given for it; half a turn resamples and is left to the tests."""
+    images = _images(spark, sf_dir, 1)
+    flat = ocr.profile("rendered_page")
+    out = [scan.prepare_images(images.filter(F.col("file_id") % 4 == k), options=replace(flat, turn=90 * k), key="file_id") for k in (0, 1, 3)]
+    return _checksums(out[0].unionByName(out[1]).unionByName(out[2]))
