@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 import zlib
 
@@ -71,11 +72,14 @@ def sampled(docs: DataFrame, n: int) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. There is no other choice: a folder of the driver's
-    own would lose what executors write."""
+    """The folder that driver and executors share, as the session names it. Where it names none, a folder
+    of this machine's will do only if there is no other machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="pagewise-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
