@@ -20,14 +20,19 @@ def center_y(y: Column, h: Column) -> Column:
     return y + h / 2
 
 
+def page_scale(width_px, height_px, width_pt, height_pt) -> tuple[Column, Column]:
+    """Pixels a point along each axis: of the picture and the page as they are, whatever resolution was asked for."""
+    return width_px / width_pt, height_px / height_pt
+
+
 def pixels_to_points(x, y, w, h, width_px, height_px, width_pt, height_pt) -> Column:
     """A pixel rectangle (origin top left) in points (origin bottom left)."""
-    sx, sy = width_px / width_pt, height_px / height_pt
+    sx, sy = page_scale(width_px, height_px, width_pt, height_pt)
     return F.struct((x / sx).alias("x"), (height_pt - y / sy - h / sy).alias("y"), (w / sx).alias("w"), (h / sy).alias("h"))
 
 
 def points_to_pixels(x, y, w, h, width_px, height_px, width_pt, height_pt) -> Column:
-    sx, sy = width_px / width_pt, height_px / height_pt
+    sx, sy = page_scale(width_px, height_px, width_pt, height_pt)
     return F.struct((x * sx).alias("x"), ((height_pt - y - h) * sy).alias("y"), (w * sx).alias("w"), (h * sy).alias("h"))
 
 
@@ -53,11 +58,21 @@ def to_original(x, y, orientation, skew, width, height, turned_w, turned_h) -> C
     flat = F.abs(skew) < 0.01
     u = F.when(flat, x).otherwise(cx + dx * F.cos(a) - dy * F.sin(a))
     v = F.when(flat, y).otherwise(cy + dx * F.sin(a) + dy * F.cos(a))
-    px = F.when(orientation == 90, v).when(orientation == 180, width - u).when(orientation == 270, width - v).otherwise(u)
-    py = F.when(orientation == 90, height - u).when(orientation == 180, height - v).when(orientation == 270, u).otherwise(v)
+    px = F.when(orientation == 90, v).when(orientation == 180, width - 1 - u).when(orientation == 270, width - 1 - v).otherwise(u)
+    py = F.when(orientation == 90, height - 1 - u).when(orientation == 180, height - 1 - v).when(orientation == 270, u).otherwise(v)
     return F.struct(px.alias("x"), py.alias("y"))
 
 
+def to_frame(original: Column, crop_x: Column, crop_y: Column) -> Column:
+    """A point of the cropped image, as to_original gives it, in the whole one."""
+    return F.struct((original["x"] + crop_x).alias("x"), (original["y"] + crop_y).alias("y"))
+
+
+def is_identity(orientation: Column, skew: Column) -> Column:
+    """Whether a correction leaves points where they are, but for the crop."""
+    return (orientation == 0) & (F.abs(skew) < 0.01)
+
+
 def quarter_turn(x: Column, y: Column, width: Column, height: Column, degrees: Column) -> Column:
     """Where a pixel goes when the image is turned clockwise."""
     px = F.when(degrees == 90, height - 1 - y).when(degrees == 180, width - 1 - x).when(degrees == 270, y).otherwise(x)

@@ -360,15 +360,17 @@ def pixels_allowed(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", pixels_within(F.col("o_custkey") * 41, F.col("o_orderkey") % 997, F.lit(4), 40_000_000).alias("allowed"))
 
 
-@query("""SELECT vec_id, round(CASE o WHEN 90 THEN v WHEN 180 THEN 400 - u WHEN 270 THEN 400 - v ELSE u END, 4) + 0.0 AS x, round(CASE o WHEN 90 THEN 200 - u WHEN 180 THEN 200 - v WHEN 270 THEN u ELSE v END, 4) + 0.0 AS y FROM (
-SELECT vec_id, o, CASE WHEN abs(s) < 0.01 THEN x ELSE cx + (x - cx) * cos(radians(s)) - (y - cy) * sin(radians(s)) END AS u, CASE WHEN abs(s) < 0.01 THEN y ELSE cy + (x - cx) * sin(radians(s)) + (y - cy) * cos(radians(s)) END AS v FROM (
+@query("""SELECT vec_id, round(CASE o WHEN 90 THEN v WHEN 180 THEN 399 - u WHEN 270 THEN 399 - v ELSE u END + vec_id % 31, 4) + 0.0 AS x, round(CASE o WHEN 90 THEN 199 - u WHEN 180 THEN 199 - v WHEN 270 THEN u ELSE v END + vec_id % 29, 4) + 0.0 AS y, o = 0 AND abs(s) < 0.01 AS is_identity FROM (
+SELECT vec_id, o, s, CASE WHEN abs(s) < 0.01 THEN x ELSE cx + (x - cx) * cos(radians(s)) - (y - cy) * sin(radians(s)) END AS u, CASE WHEN abs(s) < 0.01 THEN y ELSE cy + (x - cx) * sin(radians(s)) + (y - cy) * cos(radians(s)) END AS v FROM (
 SELECT vec_id, (vec_id % 4) * 90 AS o, (vec_id % 15 - 7)::DOUBLE AS s, (vec_id % 180)::DOUBLE AS x, (vec_id % 170)::DOUBLE AS y, CASE WHEN vec_id % 2 = 1 THEN 100.0 ELSE 200.0 END::DOUBLE AS cx, CASE WHEN vec_id % 2 = 1 THEN 200.0 ELSE 100.0 END::DOUBLE AS cy FROM embeddings))""")
 def correction_map(spark, sf_dir):
     k = F.col("vec_id")
     o = (k % 4 * 90).cast("int")
     tw, th = F.when(k % 2 == 1, 200.0).otherwise(400.0), F.when(k % 2 == 1, 400.0).otherwise(200.0)
     p = geometry.to_original((k % 180).cast("double"), (k % 170).cast("double"), o, (k % 15 - 7).cast("double"), F.lit(400.0), F.lit(200.0), tw, th)
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(p["x"], 4) + 0.0).alias("x"), (F.round(p["y"], 4) + 0.0).alias("y"))
+    p = geometry.to_frame(p, k % 31, k % 29)
+    same = geometry.is_identity(o, (k % 15 - 7).cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.round(p["x"], 4) + 0.0).alias("x"), (F.round(p["y"], 4) + 0.0).alias("y"), same.alias("is_identity"))
 
 
 @query(_PIXELS + "SELECT image_id, CASE image_id % 4 WHEN 1 THEN 7 - y WHEN 2 THEN 7 - x WHEN 3 THEN y ELSE x END::INT AS x, CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 7 - y WHEN 3 THEN 7 - x ELSE y END::INT AS y, level FROM px")
@@ -378,6 +380,14 @@ def quarter_turns(spark, sf_dir):
     return p.select("image_id", t["x"].cast("int").alias("x"), t["y"].cast("int").alias("y"), "level")
 
 
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id, [v[1], v[3], v[5], v[7]] AS xs, [v[2], v[4], v[6], v[8]] AS ys FROM e) SELECT vec_id, list_min(xs) AS x, list_min(ys) AS y, list_max(xs) - list_min(xs) AS w, list_max(ys) - list_min(ys) AS h, list_min(ys) + (list_max(ys) - list_min(ys)) / 2 AS center_y FROM q")
+def quad_bounds(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    quad = F.array(*[F.struct(v[2 * k].alias("x"), v[2 * k + 1].alias("y")) for k in range(4)])
+    box = table(spark, sf_dir, "embeddings").select("vec_id", geometry.bbox(quad).alias("b"))
+    return box.select("vec_id", "b.*", geometry.center_y(F.col("b.y"), F.col("b.h")).alias("center_y"))
+
+
 @query(r"SELECT doc_id, NOT regexp_matches(text, '\S') AS blank FROM documents")
 def blank_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", is_blank(F.col("text")).alias("blank"))
