@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -442,7 +443,8 @@ def brute_line_dedup(rows, spare_copies=False):
         if n < 5:
             return [("short", *(tokens if re.search("[^<*> ]", " ".join(tokens)) else exact))]
         if n < 16:
-            return [("plain", *tokens), *(("out", k, *tokens[:k], *tokens[k + 1 :]) for k in range(2, n))]
+            edge = [2 + (n - 2) * k // 4 for k in range(5)]
+            return [("plain", *tokens), *(("out", n, k, *tokens[:a], *tokens[b:]) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if b > a)]
         cut = [n * k // 4 for k in range(5)]
         parts = [tuple(tokens[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
         return [("plain", *parts), *(("two", n, *tokens[:2], j, k, *(parts[i] for i in range(4) if i not in (j, k))) for j in range(4) for k in range(j + 1, 4))]
@@ -511,6 +513,30 @@ def test_stages_bear_odd_tables(spark, docs, none, stage):
     assert run(spark, none, SF).count() == 0
 
 
+def test_pipeline_against_brute_force(spark):
+    """All stages but the last, each on what the one before left, by SQL and plain loops."""
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    rows = [(i, texts[i]) for i, in duck.sql(f"SELECT doc_id FROM ({queries.ORACLES['op5_quality']}) WHERE kept").fetchall()]
+    cut = brute_line_dedup(rows, spare_copies=True)
+    rows = [(i, t) for (i, was), (_, t) in zip(rows, cut, strict=True) if t == was or t.split()]
+    components = brute_components(rows, 80)
+    rows = [(i, t) for i, t in rows if components[i] == i]
+    items = [shingles(t) for _, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()]
+    rows = [(i, t) for i, t in rows if not any(s and 100 * len(s & shingles(t)) >= 80 * len(s) for s in items)]
+    docs = queries.documents(spark, SF)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, SF)
+        if k == 3:
+            assert sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()) == sorted(rows) and len(rows) > 50
+    got = docs.collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    sizes = {i: len(t.encode().split()) for i, t in rows}
+    assert all(r.size == sizes[r.doc_id] and r.taken in (0, r.size, 2 * r.size) for r in got)
+
+
 def test_pipeline(spark):
     docs = queries.documents(spark, SF)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
