@@ -4,8 +4,9 @@ Documents with the same shingle set are one class. Classes get POSITIONS minwise
 a tree. Each of TREES independent trees branches them: a node of the tree (a path) chooses BRANCHES
 positions of its tree's pool by a hash of its own path, and sends each class to the child named by the
 class's minwise token there. Small nodes are compared exhaustively; larger ones branch again, and
-again, until they are small. Only a node whose classes are alike isn't branched any more, since no
-token would part them: it holds near copies for the most part, and is compared as it is. Two sets of
+again, until they are small or branching would only make more of them: classes that agree at the part
+a of positions become BRANCHES a as many rows, so where that is 1 or more, as among near copies, no
+token parts them and the node is compared as it is. Two sets of
 similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its children
 and 0 where nodes are compared: however deep, at most 0.031 a tree for s = 0.85, so four trees lose one
 link in a million; for s = 0.8 at most 0.0625, one in 65,000.
@@ -40,9 +41,8 @@ from .common import U, byte_texts, column, dropped, lower_word_hashes, shingle_s
 
 TREES, BRANCHES, PER_LEVEL, POOL = 4, 2, 4, 16
 POSITIONS = TREES * POOL
-#: A path that took this many levels has met all its tree's positions or a node that won't part; and the
-#: part of positions at which the classes of a node agree with one of them, on average, that makes them alike.
-LEVELS, ALIKE = 16, 0.75
+#: Levels after which a path has met its tree's positions over and over: what it holds won't part.
+LEVELS = 6
 LEAF, BLOCK, PIVOTS = 24, 384, 4
 ROWS_A_TASK = 250_000
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
@@ -190,15 +190,17 @@ def _children(level: int, path: Column, tree: Column, sig: Column) -> Column:
     return F.array(*[F.xxhash64(path, p, F.element_at(sig, pool + p + 1)) for p in (first, second)])
 
 
-def _alike(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The paths of nodes (path, pivot, cls) whose classes agree with the pivot at most positions."""
+def _settled(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The paths of large nodes (path, pivot, cls) whose classes agree with the pivot so far that branching
+    makes no fewer rows."""
     pivots = nodes.select("path", "pivot").distinct().join(sigs.withColumnRenamed("cls", "pivot"), "pivot").select("path", F.col("sig").alias("of"))
     agree = F.size(F.filter(F.zip_with("sig", "of", lambda a, b: a == b), lambda x: x)) / POSITIONS
-    return nodes.join(sigs, "cls").join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("agree")).filter(F.col("agree") >= ALIKE).select("path")
+    found = nodes.join(sigs, "cls").join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("a"))
+    return found.filter(BRANCHES * F.col("a") >= 1).select("path")
 
 
 def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """(path, cls, n, late) of every node to be compared: small ones, and those whose classes are alike.
+    """(path, cls, n, late) of every node to be compared: small ones, and those that branching won't part.
     late is false under the first branch of the first tree."""
     sigs = classes.select("cls", "sig")
     at = sigs.select("cls", F.posexplode(_roots(F.col("sig"))).alias("spot", "path"))
@@ -212,10 +214,11 @@ def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
         if level == LEVELS or not large.limit(1).count():
             parts.append(here)
             break
-        alike = stored(spark, _alike(large, sigs), "alike")
-        scratch.append(alike)
-        parts += [here.filter(F.col("n") <= LEAF), large.join(alike, "path", "left_semi")]
-        at = large.join(alike, "path", "left_anti").join(sigs, "cls").select("cls", "tree", "late", F.explode(_children(level, F.col("path"), F.col("tree"), F.col("sig"))).alias("path"))
+        settled = stored(spark, _settled(large, sigs), "settled")
+        done = stored(spark, here.filter(F.col("n") <= LEAF).unionByName(large.join(settled, "path", "left_semi")), "nodes")
+        scratch += [settled, done]
+        parts.append(done)
+        at = large.join(settled, "path", "left_anti").join(sigs, "cls").select("cls", "tree", "late", F.explode(_children(level, F.col("path"), F.col("tree"), F.col("sig"))).alias("path"))
     found = reduce(DataFrame.unionByName, [p.select("path", "cls", "n", "late") for p in parts])
     # nodes with the same members are compared once
     prints = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"print{k}") for k in range(2)]
