@@ -138,7 +138,6 @@ def read_documents(files: DataFrame, *, filename: str | None = "filename", backe
     limits = limits or Limits()
     size = F.coalesce(F.length("content"), F.lit(0)).cast("long")
     over = size > F.lit(limits.input_bytes) if limits.input_bytes is not None else F.lit(False)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     name = F.col(filename) if filename and filename in files.columns else F.lit(None).cast("string")
     # of files over the limit only the length is ever asked for
     routed = files.select("file_id", size.alias("size"), over.alias("over"), F.when(~over, F.coalesce("content", F.lit(bytearray()))).alias("content"), name.alias("name"))
