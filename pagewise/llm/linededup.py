@@ -5,8 +5,9 @@ hashes of SEGMENTS equal runs of its tokens. Tokens with a digit are variable fi
 `<*>`. Fields that vary without digits are generalised by further templates within the leaf of one
 token count and the same leading tokens. A line of LONG tokens or more has the templates that leave
 two segments out, so that any two variable words after the leading ones are covered. A line of SHORT
-tokens or more that isn't long has the templates that leave one token after the leading ones out;
-such a template counts if at least VALUES different lines have it, as two may differ by chance.
+tokens or more that isn't long has the templates that leave out one of SEGMENTS runs of its tokens
+after the leading ones, so that a field of one token or several is covered; such a template counts if
+at least VALUES different lines have it, as two may differ by chance.
 
 A line of under SHORT tokens of which masking would leave nothing but `<*>` (a page number, say) has
 its tokens as they are for a template, so that different numbers stay apart.
@@ -37,7 +38,7 @@ from .common import column, set_aside, stored, unused_name
 SHORT, LEADING, SEGMENTS, LONG = 5, 2, 4, 16
 #: Different lines that show a field of a line that isn't long to be variable.
 VALUES = 3
-#: The last two bits of a key: of a template counted by documents alone, of a short line, of one with a token left out.
+#: The last two bits of a key: of a template counted by documents alone, of a short line, of one with a run of tokens left out.
 PLAIN, OF_SHORT, ONE_OUT = 0, 1, 2
 PAIRS = [(j, k) for j in range(SEGMENTS) for k in range(j + 1, SEGMENTS)]
 #: What stands for a null doc_id, so that it comes last.
@@ -57,15 +58,18 @@ def generalised(text: Column) -> Column:
 
 
 def line_keys(text: Column) -> Column:
-    """The keys of each line's templates, by place."""
-    # bound by a transform, so that the plain lines are split once a text and not once a line
-    exact = F.array(lines_of(plain(text)))
-    return F.element_at(F.transform(exact, lambda lines: F.transform(lines_of(generalised(plain(text))), lambda line, place: templates(line, F.get(lines, place)))), 1)
+    """The keys of each line's templates, by place. Lines are masked one by one: few have digits."""
+    return F.transform(lines_of(plain(text)), lambda exact: bound(generalised(exact), lambda line: templates(line, exact)))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def templates(line: Column, exact: Column) -> Column:
     """Keys of a generalised line's templates; the first is that of the whole line. exact is the line before masking."""
-    return F.element_at(F.transform(F.array(F.split(line, " ")), lambda tokens: _of_line(line, tokens, exact)), 1)
+    return bound(F.split(line, " "), lambda tokens: _of_line(line, tokens, exact))
 
 
 def _of_line(line: Column, tokens: Column, exact: Column) -> Column:
@@ -89,12 +93,14 @@ def _of_tokens(tokens: Column) -> Column:
     def of_segments(segments: Column) -> Column:
         some = [_marked(PLAIN, n, lead, F.lit(j * SEGMENTS + k), F.array(*[segments[i] for i in range(SEGMENTS) if i not in (j, k)])) for j, k in PAIRS]
         whole = _marked(PLAIN, n, lead, F.lit(-1), segments)
-        one_out = F.transform(F.sequence(F.lit(LEADING + 1), n), lambda k: _marked(ONE_OUT, n, k, F.slice(tokens, 1, k - 1), F.slice(tokens, k + 1, n)))
-        return F.when(n >= LONG, F.array(whole, *some)).otherwise(F.concat(F.array(whole), one_out))
+        edge = lambda k: ((n - LEADING) * k / SEGMENTS).cast("int") + LEADING
+        without = lambda k: _marked(ONE_OUT, n, F.lit(k), F.slice(tokens, 1, edge(k)), F.slice(tokens, edge(k + 1) + 1, n))
+        one_out = [F.when(edge(k + 1) > edge(k), without(k)) for k in range(SEGMENTS)]
+        return F.when(n >= LONG, F.array(whole, *some)).otherwise(F.array_compact(F.array(whole, *one_out)))
 
     cut = lambda k: (n * k / SEGMENTS).cast("int")
     segments = F.array(*[F.xxhash64(F.slice(tokens, cut(k) + 1, cut(k + 1) - cut(k))) for k in range(SEGMENTS)])
-    return F.element_at(F.transform(F.array(segments), of_segments), 1)
+    return bound(segments, of_segments)
 
 
 def lines_of(text: Column) -> Column:
