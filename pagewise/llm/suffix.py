@@ -45,6 +45,8 @@ SHALLOW = 32
 CHUNK_BYTES = 24 << 20
 #: Windows of a chunk, and contexts of a chunk or bucket, that are worked on at a time.
 SLICE, PIECE = 1 << 18, 1 << 14
+#: Buckets a chunk: several, so that those that share a task even out.
+BUCKETS = 4
 #: Distinct contexts up to which an anchor's are sorted together; those of a hotter one are spread by window.
 HOT = 1 << 15
 _BYTE = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -484,10 +486,10 @@ def _cut(keep_bytes: bool):
 def remove_repeats(spark: SparkSession, docs: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, keep_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and if asked the kept bytes."""
     table, n = chunked(spark, docs, chunk_bytes)
-    by_chunk = table.groupBy("chunk")
-    sent = stored(spark, by_chunk.applyInArrow(_send_hashes(n), _BLOBS_DDL), "hashes")
+    by_chunk, buckets = table.groupBy("chunk"), n * BUCKETS
+    sent = stored(spark, by_chunk.applyInArrow(_send_hashes(buckets), _BLOBS_DDL), "hashes")
     told = stored(spark, sent.groupBy("key").applyInArrow(_find_repeated(hot), _BLOBS_DDL), "repeated")
-    found = stored(spark, by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_contexts(n), _KINDS_DDL), "contexts")
+    found = stored(spark, by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_send_contexts(buckets), _KINDS_DDL), "contexts")
     windows = found.filter(F.col("kind") == _CONTEXTS).groupBy("key").applyInArrow(_find_windows, _BLOBS_DDL)
     windows = windows.unionByName(found.filter(F.col("kind") == _WINDOWS).groupBy("key").applyInArrow(_find_hot, _BLOBS_DDL))
     known = found.filter(F.col("kind") == _SPANS).select("kind", "chunk", "blob")
