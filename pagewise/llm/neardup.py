@@ -4,9 +4,9 @@ Documents with the same shingle set are one class. Classes get POSITIONS minwise
 a tree. Each of TREES independent trees branches them: a node of the tree (a path) chooses BRANCHES
 positions of its tree's pool by a hash of its own path, and sends each class to the child named by the
 class's minwise token there. Small nodes are compared exhaustively; larger ones branch again, and
-again, until they are small or branching would only make more of them: classes that agree at the part
-a of positions become BRANCHES a as many rows, so where that is 1 or more, as among near copies, no
-token parts them and the node is compared as it is. Two sets of
+again, until they are small or branching wouldn't make clearly fewer rows: classes that agree at the
+part a of positions become BRANCHES a as many, so where that is SETTLED or more, as among near copies,
+no token parts them and the node is compared as it is. Two sets of
 similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its children
 and 0 where nodes are compared: however deep, at most 0.031 a tree for s = 0.85, so four trees lose one
 link in a million; for s = 0.8 at most 0.0625, one in 65,000.
@@ -43,6 +43,8 @@ TREES, BRANCHES, PER_LEVEL, POOL = 4, 2, 4, 16
 POSITIONS = TREES * POOL
 #: Levels after which a path has met its tree's positions over and over: what it holds won't part.
 LEVELS = 6
+#: Rows that branching makes of one, from which on a node is compared instead.
+SETTLED = 0.8
 LEAF, BLOCK, PIVOTS = 24, 384, 4
 ROWS_A_TASK = 250_000
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
@@ -192,11 +194,11 @@ def _children(level: int, path: Column, tree: Column, sig: Column) -> Column:
 
 def _settled(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     """The paths of large nodes (path, pivot, cls) whose classes agree with the pivot so far that branching
-    makes no fewer rows."""
+    doesn't make clearly fewer rows."""
     pivots = nodes.select("path", "pivot").distinct().join(sigs.withColumnRenamed("cls", "pivot"), "pivot").select("path", F.col("sig").alias("of"))
     agree = F.size(F.filter(F.zip_with("sig", "of", lambda a, b: a == b), lambda x: x)) / POSITIONS
     found = nodes.join(sigs, "cls").join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("a"))
-    return found.filter(BRANCHES * F.col("a") >= 1).select("path")
+    return found.filter(BRANCHES * F.col("a") >= SETTLED).select("path")
 
 
 def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
