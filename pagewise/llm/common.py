@@ -103,19 +103,34 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Buckets up to which numbers are looked for that hash to a bucket each; more even out by themselves.
+OWN_BUCKETS = 1 << 14
+
+
+def _own_bucket(spark: SparkSession, k: Column, n: int) -> Column:
+    """For k from 0 to n - 1, numbers that a partitioning by hash into n sends to n different places."""
+    if n > OWN_BUCKETS:
+        return k
+    of = spark.range(40 * n + 200).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("place")).agg(F.min("id").alias("id"))
+    found = dict(of.collect())
+    numbers = [found.get(place, place) for place in range(n)]
+    return F.element_at(F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<int>"), k + 1)
+
+
 def chunked(spark: SparkSession, docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
     """Deal (doc_id, text) into chunks of about chunk_bytes of text by a hash of doc_id, or of the text
     where that is null.
 
     Returns a table bucketed by `chunk`, so that grouping by chunk needs no further shuffle of
     text however often it is read, and the number of chunks. Rows with equal doc_id share a chunk.
+    Chunks are numbered so that each has a bucket, and so a task, of its own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // chunk_bytes))
     name = f"pagewise_chunks_{uuid.uuid4().hex}"
     spread = F.coalesce("doc_id", F.xxhash64("text"))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
+    dealt = docs.withColumn("chunk", _own_bucket(spark, F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"), n))
     dealt.repartition(n, "chunk").write.option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
     return spark.table(name), n
 

@@ -37,9 +37,10 @@ from .common import U, byte_texts, chunked, mixed, pack, pack_keys, placed_word_
 
 DEPTH = 5
 #: Text of a chunk, and of the part of one that is worked on at a time; grams of the subtrees that are.
-CHUNK_BYTES, PART, SUBTREES = 24 << 20, 6 << 20, 1 << 18
-#: Buckets at most: contexts of two bytes, the unit that grams are dealt by.
-BUCKETS = 1 << 16
+CHUNK_BYTES, PART, SUBTREES = 24 << 20, 4 << 20, 1 << 18
+#: Buckets a chunk, several, so that those that share a task even out; and at most: contexts of two bytes, the
+#: unit that grams are dealt by.
+PER_CHUNK, BUCKETS = 4, 1 << 16
 _GRAMS, _WORDS = 0, 1
 
 
@@ -169,15 +170,14 @@ class Chunk:
         """The gram of every byte and end, and the document of each. The newest context byte is the
         uppest, so grams in order have subtrees together."""
         pad = b"\0" * self.depth
-        data = np.frombuffer(pad.join([b"", *[t + b"\xff" for t in texts]]), np.uint8)
+        data = np.frombuffer(pad.join([b"", *[t + b"\xff" for t in texts]]) + bytes(8), np.uint8)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.arange(len(doc)) + (doc + 1) * self.depth
-        wide = np.zeros(len(data), np.uint64)
-        for k in range(1, self.depth + 1):
-            wide[self.depth :] |= data[self.depth - k : len(data) - k].astype(np.uint64) << U(8 * (self.depth - k + 1))
-        wide |= data
-        return wide[at], doc
+        # eight bytes from each place on, read at once; those of the context have the newest uppest
+        eight = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+        context = eight[at - self.depth] & U((1 << 8 * self.depth) - 1)
+        return context << U(8) | data[at], doc
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The hash of every word, and the document of each. Ends aren't among them."""
@@ -306,7 +306,7 @@ class Top:
 
 
 def _answer(depth: int, top):
-    """To each chunk: log10 probabilities of its grams (float32), or training counts of its words."""
+    """To each chunk: its grams with their log10 probabilities (float32), or its words with their training counts."""
 
     def fn(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
@@ -326,7 +326,7 @@ def _answer(depth: int, top):
                     log_p += np.log10(np.where(up, one, 1 - one))
                 values[some] = log_p
         chunks = table.column("chunk").to_pylist()
-        return _rows([(kind, bucket, c, pack(values[p])) for c, p in zip(chunks, places, strict=True)], *_BLOBS)
+        return _rows([(kind, bucket, c, pack_keys(keys[p], values[p])) for c, p in zip(chunks, places, strict=True)], *_BLOBS)
 
     return fn
 
@@ -335,18 +335,17 @@ _RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(),
 _RESULT_DDL = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
 
-def _score(depth: int, modulus: int, remainder: int, buckets: int, tokens: int, distinct: int, ends: int):
+def _score(depth: int, modulus: int, remainder: int, tokens: int, distinct: int, ends: int):
     def fn(docs: pa.Table, told: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _rows([], list(_RESULT), list(_RESULT.values()))
         chunk = Chunk(docs, depth, modulus, remainder)
-        blobs = {(k, b): x for k, b, x in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("blob").to_pylist(), strict=True)}
         model = {}
-        for kind, keys, _ in chunk.counted():
-            values = np.zeros(len(keys), np.float32 if kind == _GRAMS else np.int64)
-            for b, at in _lots(keys, kind, depth, buckets):
-                values[at] = unpack(blobs.pop((kind, b)), values.dtype)[0]
-            model[kind] = keys, values
+        for kind, dtype in ((_GRAMS, np.float32), (_WORDS, np.int64)):
+            parts = [unpack_keys(b, dtype) for k, b in zip(told.column("kind").to_pylist(), told.column("blob").to_pylist(), strict=True) if k == kind]
+            keys, values = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, dtype))
+            order = np.argsort(keys)
+            model[kind] = keys[order], values[order]
 
         def values_of(kind: int, keys: np.ndarray) -> np.ndarray:
             which, found = pd.factorize(keys)
@@ -374,10 +373,10 @@ def score_texts(spark: SparkSession, docs: DataFrame, *, depth: int = DEPTH, mod
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of
     the text with its end), n_bytes (with the end) and bits_per_byte.
 
-    Learns from the rows whose crc32(doc_id as text) mod `modulus` isn't `remainder`. depth: 3 to 6.
+    Learns from the rows whose crc32(doc_id as text) mod `modulus` isn't `remainder`. depth: 3 to 7.
     """
     table, n = chunked(spark, docs, chunk_bytes)
-    buckets = min(n, BUCKETS)
+    buckets = min(n * PER_CHUNK, BUCKETS)
     by_chunk = table.groupBy("chunk")
     sent = stored(spark, by_chunk.applyInArrow(_send(depth, modulus, remainder, buckets), _BLOBS_DDL), "grams")
     by_bucket = sent.groupBy("kind", "bucket")
@@ -389,4 +388,4 @@ def score_texts(spark: SparkSession, docs: DataFrame, *, depth: int = DEPTH, mod
     tokens, distinct = int(words.zeros.sum()) + ends, int(words.ones.sum()) + int(ends > 0)
     top = spark.sparkContext.broadcast(Top(nodes.key.to_numpy().astype(np.uint64), nodes.zeros.to_numpy(), nodes.ones.to_numpy(), nodes.log_w.to_numpy()))
     told = by_bucket.applyInArrow(_answer(depth, top), _BLOBS_DDL)
-    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_score(depth, modulus, remainder, buckets, tokens, distinct, ends), _RESULT_DDL)
+    return by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(_score(depth, modulus, remainder, tokens, distinct, ends), _RESULT_DDL)
