@@ -4,9 +4,10 @@ Documents with the same shingle set are one class. Classes get POSITIONS minwise
 a tree. Each of TREES independent trees branches them: a node of the tree (a path) chooses BRANCHES
 positions of its tree's pool by a hash of its own path, and sends each class to the child named by the
 class's minwise token there. Small nodes are compared exhaustively; larger ones branch again, and
-again, until they are small or branching wouldn't make clearly fewer rows: classes that agree at the
-part a of positions become BRANCHES a as many, so where that is SETTLED or more, as among near copies,
-no token parts them and the node is compared as it is. Two sets of
+again, until they are small or branching wouldn't pay: it makes BRANCHES rows of each, and of the pairs
+to compare in a node whose classes agree at the part a of positions it leaves the part BRANCHES a. Where
+that is SETTLED or more, as among near copies, no token parts them, and where n (1 - BRANCHES a) is LEAF
+or less, the pairs saved cost less than the rows made; either node is compared as it is. Two sets of
 similarity s miss each other in a node with probability f = (1 - s (1 - f'))^2, f' that of its children
 and 0 where nodes are compared: however deep, at most 0.031 a tree for s = 0.85, so four trees lose one
 link in a million; for s = 0.8 at most 0.0625, one in 65,000.
@@ -43,9 +44,11 @@ TREES, BRANCHES, PER_LEVEL, POOL = 4, 2, 4, 16
 POSITIONS = TREES * POOL
 #: Levels after which a path has met its tree's positions over and over: what it holds won't part.
 LEVELS = 6
-#: Rows that branching makes of one, from which on a node is compared instead.
+#: The part of a node's pairs left by branching, from which on the node is compared instead.
 SETTLED = 0.8
-LEAF, BLOCK, PIVOTS = 24, 384, 4
+#: Classes that one is compared with at the cost, by estimate, of one more row of it.
+LEAF = 256
+BLOCK, PIVOTS = 384, 4
 ROWS_A_TASK = 250_000
 _A = np.random.default_rng(20).integers(1, 2**63, POSITIONS, dtype=np.uint64) * U(2) + U(1)
 _B = np.random.default_rng(21).integers(1, 2**63, POSITIONS, dtype=np.uint64)
@@ -192,13 +195,20 @@ def _children(level: int, path: Column, tree: Column, sig: Column) -> Column:
     return F.array(*[F.xxhash64(path, p, F.element_at(sig, pool + p + 1)) for p in (first, second)])
 
 
+def _pivots() -> Column:
+    """An aggregate by path: PIVOTS classes of the node, by a hash of its own."""
+    return F.array(*[F.min(F.struct(F.xxhash64("cls", "path", F.lit(k)).alias("h"), "cls"))["cls"] for k in range(PIVOTS)])
+
+
 def _settled(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The paths of large nodes (path, pivot, cls) whose classes agree with the pivot so far that branching
-    doesn't make clearly fewer rows."""
-    pivots = nodes.select("path", "pivot").distinct().join(sigs.withColumnRenamed("cls", "pivot"), "pivot").select("path", F.col("sig").alias("of"))
-    agree = F.size(F.filter(F.zip_with("sig", "of", lambda a, b: a == b), lambda x: x)) / POSITIONS
-    found = nodes.join(sigs, "cls").join(pivots, "path").groupBy("path").agg(F.avg(agree).alias("a"))
-    return found.filter(BRANCHES * F.col("a") >= SETTLED).select("path")
+    """The paths of large nodes (path, n, cls) that branching makes no cheaper to compare, as far as their
+    classes agree with a few of them."""
+    pivots = nodes.groupBy("path").agg(_pivots().alias("cls")).select("path", F.explode("cls").alias("cls"))
+    pivots = pivots.join(sigs, "cls").groupBy("path").agg(F.collect_list("sig").alias("of"))
+    agree = F.transform("of", lambda of: F.size(F.filter(F.zip_with("sig", of, lambda a, b: a == b), lambda x: x)))
+    part = F.aggregate(agree, F.lit(0), lambda a, b: a + b) / (F.size("of") * POSITIONS)
+    left = nodes.join(sigs, "cls").join(pivots, "path").groupBy("path", "n").agg((BRANCHES * F.avg(part)).alias("left"))
+    return left.filter((F.col("left") >= SETTLED) | (F.col("n") * (1 - F.col("left")) <= LEAF)).select("path")
 
 
 def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
@@ -209,7 +219,7 @@ def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
     at = at.select("cls", F.floor(F.col("spot") / BRANCHES).cast("int").alias("tree"), (F.col("spot") > 0).alias("late"), "path")
     parts, scratch = [], []
     for level in range(1, LEVELS + 1):
-        counts = at.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("cls"), "cls"))["cls"].alias("pivot")).filter("n > 1")
+        counts = at.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         here = stored(spark, at.join(counts, "path"), "nodes")
         scratch.append(here)
         large = here.filter(F.col("n") > LEAF)
@@ -221,6 +231,8 @@ def _nodes(spark: SparkSession, classes: DataFrame) -> DataFrame:
         scratch += [settled, done]
         parts.append(done)
         at = large.join(settled, "path", "left_anti").join(sigs, "cls").select("cls", "tree", "late", F.explode(_children(level, F.col("path"), F.col("tree"), F.col("sig"))).alias("path"))
+        at = stored(spark, at, "children")  # read twice: counted, and joined with the counts
+        scratch.append(at)
     found = reduce(DataFrame.unionByName, [p.select("path", "cls", "n", "late") for p in parts])
     # nodes with the same members are compared once
     prints = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"print{k}") for k in range(2)]
@@ -258,8 +270,7 @@ def link_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, thres
     nodes = nodes.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     early = nodes.filter(~F.col("late"))
     # pivots: a few classes of each large node, in all its blocks
-    tops = [F.min(F.struct(F.xxhash64("cls", "path", F.lit(k)).alias("h"), "cls"))["cls"] for k in range(PIVOTS)]
-    pivots = early.filter("parts > 1").groupBy("path", "parts").agg(F.array(*tops).alias("tops")).select("path", "parts", F.explode("tops").alias("cls"))
+    pivots = early.filter("parts > 1").groupBy("path", "parts").agg(_pivots().alias("tops")).select("path", "parts", F.explode("tops").alias("cls"))
     pivots = pivots.select("path", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"))
     first = early.select("path", "cls", "block").unionByName(pivots).join(sets, "cls").withColumn("comp", F.col("cls"))
     links = stored(spark, grouped(first, ["path", "block"], _compare(threshold), *_LINK), "links")

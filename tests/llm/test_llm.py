@@ -88,6 +88,27 @@ def test_near_dedup(spark, docs, rows, monkeypatch, block):
     assert {r.doc_id: r.n_shingles for r in got}[111] == 0
 
 
+def test_near_dedup_branches(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAF", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    got = {r.doc_id: r.component_id for r in neardup.components(spark, docs, threshold=85).filter("doc_id is not null").collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_near_dedup_branches_only_where_that_pays(spark):
+    def made(n, tokens):
+        rng = np.random.default_rng(8)
+        sigs = rng.integers(0, tokens, (n, neardup.POSITIONS)).tolist()
+        classes = spark.createDataFrame([(i.to_bytes(16, "big"), i, s) for i, s in enumerate(sigs)], "cls binary, rep long, sig array<int>")
+        return neardup._nodes(spark, classes).count()
+
+    roots = neardup.TREES * neardup.BRANCHES
+    # a quarter alike, in root nodes of about 60: to branch them doubles the rows and spares few pairs
+    assert made(240, 4) == roots * 240
+    # in root nodes of about 750 it spares many
+    assert made(3000, 4) > roots * 3000
+
+
 def test_near_dedup_of_nothing(spark, none):
     assert neardup.components(spark, none).count() == 0 and neardup.deduplicated(spark, none).count() == 0
 
