@@ -65,14 +65,18 @@ SLOPE_POINTS = 120
 def theil_sen(x: Column, y: Column) -> Column:
     """(slope, intercept) of a line through points in arrays x and y: the median slope between evenly spaced
     points, at most SLOPE_POINTS of them, and the median intercept of all; null without a slope."""
-    n = F.size(x)
-    step = F.greatest(F.ceil(n / SLOPE_POINTS).cast("int"), F.lit(1))
-    at = lambda a, i: F.get(a, i)
-    ends = lambda i: F.when(i + step < n, F.sequence(i + step, n - 1, step)).otherwise(F.array().cast("array<int>"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1, step), lambda i: F.transform(ends(i), lambda j: F.when(at(x, j) != at(x, i), (at(y, j) - at(y, i)) / (at(x, j) - at(x, i))))))
-    slopes = F.sort_array(F.filter(pairs, lambda s: s.isNotNull()))
 
-    def line(slope: Column) -> Column:
-        return F.when(slope.isNotNull(), F.struct(slope.alias("slope"), nearest_rank(F.sort_array(F.zip_with(x, y, lambda a, b: b - slope * a)), 0.5).alias("intercept")))
-
-    return F.when(n >= 2, bound(nearest_rank(slopes, 0.5), line))
+    def line(x: Column, y: Column) -> Column:
+        n = F.size(x)
+        step = F.greatest(F.ceil(n / SLOPE_POINTS).cast("int"), F.lit(1))
+        points = F.transform(F.sequence(F.lit(0), n - 1, step), lambda i: F.struct(F.get(x, i).alias("x"), F.get(y, i).alias("y")))
+        after = lambda ps, k: F.slice(ps, k + 2, F.size(ps))
+        rise = lambda p, q: F.when(q["x"] != p["x"], (q["y"] - p["y"]) / (q["x"] - p["x"]))
+        pairs = bound(points, lambda ps: F.flatten(F.transform(ps, lambda p, k: F.transform(after(ps, k), lambda q: rise(p, q)))))
+        slopes = F.sort_array(F.filter(pairs, lambda s: s.isNotNull()))
+        intercept = lambda slope: nearest_rank(F.sort_array(F.zip_with(x, y, lambda a, b: b - slope * a)), 0.5)
+        through = lambda slope: F.when(slope.isNotNull(), F.struct(slope.alias("slope"), intercept(slope).alias("intercept")))
+        return F.when(n >= 2, bound(bound(slopes, lambda ss: nearest_rank(ss, 0.5)), through))
+
+    # an array that is an expression would be made anew for each of its elements that is asked for
+    return bound(F.struct(x.alias("x"), y.alias("y")), lambda p: bound(p["x"], lambda a: bound(p["y"], lambda b: line(a, b))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewise.functions import geometry
 from pagewise.functions.text import sniff_delimited
 from pagewise.limits import Limits, exceeded, message
-from pagewise.operators import account, confidence, ctc, layout, markdown, route
+from pagewise.operators import account, confidence, ctc, layout, markdown, route, vision
 from pagewise.sources import archive, raster
 
 
@@ -89,6 +89,15 @@ def test_accounts_for_every_page(spark):
     assert r.receipt == "3 page(s): 1 extracted, 1 recognised, 1 unresolved, 2 marked for a person"
 
 
+def test_theil_sen_makes_its_arrays_once(spark):
+    x, y = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i.cast("double")), F.col("v").cast("array<double>")
+    given = spark.createDataFrame([([1.0, 3.0, 5.0, 7.0],), ([4.0, 4.0, 4.0, 90.0],)], "v array<float>")
+    plan = given.select(vision.theil_sen(x, y).alias("l"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("sequence(0, 3") == 1 and plan.count("as array<double>") == 1
+    got = given.select(vision.theil_sen(x, y).alias("l"), vision.theil_sen(F.slice(x, 1, 1), y).alias("none"))
+    assert [(tuple(r.l), r.none) for r in got.collect()] == [((2.0, 1.0), None), ((pytest.approx(86 / 3), 4.0), None)]
+
+
 def test_limits(spark):
     got = spark.range(1).select(exceeded("input size", 10, F.lit(11), F.lit(True)).alias("e")).select(message(F.col("e.limit"), F.col("e.allowed"), F.col("e.found"))).first()[0]
     assert got == "input size is 11, over the limit of 10"
