@@ -38,7 +38,8 @@ def _plain(c):
 
 
 def _parts(c):
-    return F.filter(F.transform(F.split(_plain(c), "\n"), F.trim), lambda x: x != "")
+    # trim itself has a second parameter, in which transform would hand it the line's number as what to trim
+    return F.filter(F.transform(F.split(_plain(c), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _documents(spark, sf_dir):

@@ -13,7 +13,7 @@ from pagewise import __main__ as cli
 from pagewise import models
 from pagewise.limits import Limits
 from pagewise.operators import read, route
-from pagewise.plans import samples
+from pagewise.plans import reading, samples
 from pagewise.sources import archive, office, pdf
 from pagewise.streaming import ingest
 
@@ -45,6 +45,11 @@ def test_read_one_file(spark):
     assert got["markdown"] == "<!-- Page 1 -->\n\none\n\n<!-- Page 3 -->\n\ntwo" and got["unresolved_pages"] == [2] and got["kind"] == "mixed" and got["summary"] == "mixed PDF, 3 pages, 1 need OCR"
 
 
+def test_lines_keep_digits_that_equal_their_number(spark):
+    text = "0 ends in 0\n  1 ends in 1 \n\n 3 ends in 3\n+4"
+    assert spark.createDataFrame([(text,)], "t string").select(reading._parts(F.col("t"))).first()[0] == ["0 ends in 0", "1 ends in 1", "3 ends in 3", "+4"]
+
+
 def test_office_structure():
     w = samples.W
     body = (
