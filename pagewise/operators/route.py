@@ -17,7 +17,7 @@ OFFICE = ("doc", "docx", "docm", "ppt", "pps", "pot", "pptx", "pptm", "ppsx", "p
 HEIC = ("heic", "heix", "heim", "heis", "hevc", "hevx", "hevm", "hevs")
 
 
-def head(content: Column, start: int, n: int) -> Column:
+def head(content: Column, start: int | Column, n: int | Column) -> Column:
     """Bytes as upper-case hex."""
     return F.hex(F.substring(content, start, n))
 
@@ -45,17 +45,35 @@ def png_size(content: Column) -> Column:
     return F.when(image_kind(content) == "png", F.struct(number(17).alias("width"), number(21).alias("height")))
 
 
+def _directory(content: Column) -> Column:
+    """The central directory of a zip as text, null where its end isn't found. It names the parts, and has
+    nothing of what they hold."""
+    text = lambda c: F.decode(c, "ISO-8859-1")
+    tail = F.substring(content, -65557, 65557)  # the end record and the longest comment
+    before = F.length(F.regexp_extract(text(tail), r"(?s)^(.*)PK\x05\x06.{18}", 1))
+
+    def cut(end: Column) -> Column:
+        size = F.conv(F.concat(*[head(content, end + k, F.lit(1)) for k in (16, 15, 14, 13)]), 16, 10).cast("long")
+        found = (head(content, end + 1, F.lit(4)) == "504B0506") & (size <= end) & (head(content, (end - size + 1).cast("int"), F.lit(4)) == "504B0102")
+        return F.when(found, text(F.substring(content, (end - size + 1).cast("int"), size.cast("int"))))
+
+    return bound(F.length(content) - F.length(tail) + before, cut)
+
+
 def office_kind(content: Column) -> Column:
     """Office format by magic: zip packages by the names of their parts, OLE2, RTF."""
     h = head(content, 1, 8)
     parts = F.decode(F.substring(content, 1, 1 << 16), "ISO-8859-1")
-    # the central directory names every part, also those that begin beyond the prefix
-    listed = F.decode(content, "ISO-8859-1")
-    has = lambda folder: parts.contains(folder) | listed.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}")
+
+    def by_names(listed: Column) -> Column:
+        # a zip cut short has no directory, but a header before each part
+        has = lambda folder: F.when(listed.isNotNull(), listed.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}")).otherwise(F.decode(content, "ISO-8859-1").rlike(rf"(?s)PK\x03\x04.{{26}}{folder}"))
+        return F.when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
+
     zipped = (
         F.when(parts.contains("mimetypeapplication/epub+zip"), "epub").when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.text"), "odt")
         .when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.spreadsheet"), "ods").when(parts.contains("mimetypeapplication/vnd.oasis.opendocument.presentation"), "odp")
-        .when(has("word/"), "docx").when(has("xl/"), "xlsx").when(has("ppt/"), "pptx")
+        .otherwise(bound(_directory(content), by_names))
     )
     # OLE2 files name their streams in UTF-16
     inside = lambda name: F.contains(content, F.lit(bytearray(name.encode("utf-16-le"))))

@@ -50,6 +50,21 @@ def test_lines_keep_digits_that_equal_their_number(spark):
     assert spark.createDataFrame([(text,)], "t string").select(reading._parts(F.col("t"))).first()[0] == ["0 ends in 0", "1 ends in 1", "3 ends in 3", "+4"]
 
 
+def test_what_parts_hold_is_not_their_name(spark):
+    def stored(**parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name.replace("__", "/"), body)
+        return out.getvalue()
+
+    deck = stored(ppt__a=b"xl/ word/" + samples.xlsx([("S", [["a"]])]), ppt__presentation=b"PK\x05\x06")
+    given = files(spark, (deck, None), (deck[:-30], None), (deck[: -len("ppt/presentation") - 60] + b"?", None), (stored(a=samples.docx(["x"])), None), (b"\0" * 9 + deck, None), (samples.docx(["x"] * 9000), None), (b"PK\x03\x04", None))
+    got = {r.file_id: r.format for r in route.inspect(given).collect()}
+    assert got[0] == "pptx" and got[3] is None and got[4] is None and got[5] == "docx" and got[6] is None
+    assert got[1] == "xlsx"  # cut short: the package inside is all that tells
+
+
 def test_office_structure():
     w = samples.W
     body = (
