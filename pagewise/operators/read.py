@@ -108,8 +108,7 @@ def image_pages(files: DataFrame, backend: ocr.Backend, *, mark_uncertain: bool
     """files (file_id, content) to (file_id, markdown, confidence, human_regions, ocr_error, ocr_ms): what a
     backend reads of each image. One that read nothing has no confidence."""
     scans = scan.scan_images(files, backend).select("*", F.size("boxes").alias("n_boxes"), F.size("regions").alias("n_regions"))
-    placed = layout.group_into_lines(layout.split_columns(scan.boxes_of(scans)))
-    said = markdown.to_markdown(layout.lines_with_human(placed, scan.regions_of(scans)), mark_uncertain=mark_uncertain).select("file_id", "markdown")
+    said = markdown.to_markdown(layout.written(scan.boxes_of(scans), scan.regions_of(scans)), mark_uncertain=mark_uncertain).select("file_id", "markdown")
     mean = F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["confidence"]) / F.greatest("n_boxes", F.lit(1))
     about = scans.select("file_id", F.when((F.col("n_boxes") > 0) | (F.col("n_regions") > 0), mean).alias("confidence"), F.greatest("n_regions", F.lit(0)).cast("long").alias("human_regions"), F.col("error").alias("ocr_error"), F.col("elapsed_ms").alias("ocr_ms"))
     return about.join(said, "file_id", "left")

@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of files for each task that their rows are dealt to, so that its share doesn't grow with the table.
+SHARE = 4 << 20
+
+
+def shares(files: DataFrame) -> int:
+    stored = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(files.sparkSession.sparkContext.defaultParallelism, -(-stored // SHARE))
+
+
 # ---------------------------------------------------------------- routing
 
 _SNIFF = r"""
@@ -178,7 +187,8 @@ ln AS (SELECT file_id, line_no, min(col_no) AS col_no, string_agg(text, ' ' ORDE
 def _boxes(spark, sf_dir):
     i = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     d = lambda c: c.cast("double")
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus").repartition(shares(rows), "l_orderkey").select(
         F.col("l_orderkey").alias("file_id"), F.lit(1).alias("page"), F.row_number().over(i).alias("box_idx"), F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("text"),
         d(F.col("l_partkey") * 37 % 380).alias("x"), d(F.col("l_suppkey") * 13 % 40 * 8).alias("y"), (20 + F.col("l_quantity")).alias("w"), d(10 + 2 * F.col("l_linenumber")).alias("h"), F.round(1 - 6 * F.col("l_discount"), 4).alias("confidence"), F.lit(420.0).alias("page_width"),
     )
@@ -196,7 +206,7 @@ def layout_columns(spark, sf_dir):
 
 @query(_BOXES + "SELECT file_id, box_idx::INT AS box_idx, line_no, row_number() OVER (PARTITION BY file_id, line_no ORDER BY x, cy, box_idx)::INT AS pos FROM l")
 def reading_order(spark, sf_dir):
-    return layout.group_into_lines(layout.split_columns(_boxes(spark, sf_dir))).select("file_id", "box_idx", "line_no", "pos")
+    return layout.group_into_lines(_boxes(spark, sf_dir)).select("file_id", "box_idx", "line_no", "pos")
 
 
 @query(_BOXES + "SELECT file_id, line_no, col_no::INT AS col_no, text, round(baseline_y, 4) AS baseline_y, height, top, bottom, n_boxes FROM ln")
@@ -217,7 +227,7 @@ def page_confidence(spark, sf_dir):
 
 @query(_BOXES + "SELECT file_id, line_no, box_idx::INT AS box_idx, confidence FROM l WHERE confidence < 0.5")
 def weak_boxes(spark, sf_dir):
-    placed = layout.group_into_lines(layout.split_columns(_boxes(spark, sf_dir)))
+    placed = layout.group_into_lines(_boxes(spark, sf_dir))
     return confidence.weak_boxes(placed, 0.5).select("file_id", "line_no", "box_idx", "confidence")
 
 
@@ -235,19 +245,17 @@ o AS (SELECT file_id, line_no, lv, body, CASE WHEN pb IS NULL THEN '' ELSE chr(1
 
 @query(_MD + r"SELECT file_id, regexp_replace(string_agg(piece, '' ORDER BY line_no), '^\s+|\s+$', '', 'g') || chr(10) AS markdown FROM o GROUP BY file_id")
 def markdown_pages(spark, sf_dir):
-    return markdown.to_markdown(layout.assemble(_boxes(spark, sf_dir))).select("file_id", "markdown")
+    return markdown.to_markdown(layout.pages_of(_boxes(spark, sf_dir))).select("file_id", "markdown")
 
 
 @query(_MD + "SELECT file_id, body FROM bh")
 def body_heights(spark, sf_dir):
-    return markdown.body_heights(layout.assemble(_boxes(spark, sf_dir))).select("file_id", "body")
+    return markdown.body_heights(layout.pages_of(_boxes(spark, sf_dir))).select("file_id", "body")
 
 
 @query(_MD + "SELECT file_id, line_no, lv::INT AS level FROM m WHERE lv IS NOT NULL")
 def heading_levels(spark, sf_dir):
-    lines = layout.assemble(_boxes(spark, sf_dir))
-    x = lines.join(markdown.body_heights(lines), ["file_id", "page"]).withColumn("level", markdown.heading_level(F.col("height"), F.col("body")))
-    return x.filter("level is not null").select("file_id", "line_no", "level")
+    return markdown.heading_levels(layout.pages_of(_boxes(spark, sf_dir))).select("file_id", "line_no", "level")
 
 
 _REGIONS = _BOXES + ", g AS (SELECT o_orderkey AS file_id, 1 AS region_idx, ((o_custkey * 7) % 320)::DOUBLE AS ry, (8 + o_custkey % 20)::DOUBLE AS rh FROM orders), a AS (SELECT g.file_id, region_idx, ry, rh, line_no, (least(ry + rh, bottom) - greatest(ry, top)) / greatest(least(bottom - top, rh), 1) AS part FROM g JOIN ln USING (file_id)), t AS (SELECT *, row_number() OVER (PARTITION BY file_id, region_idx ORDER BY part DESC, line_no DESC) AS k FROM a WHERE part >= 0.5)"
@@ -260,12 +268,12 @@ def _regions(spark, sf_dir):
 
 @query(_REGIONS + "SELECT g.file_id, g.region_idx, t.line_no FROM g LEFT JOIN t ON g.file_id = t.file_id AND g.region_idx = t.region_idx AND t.k = 1")
 def human_attach(spark, sf_dir):
-    return layout.attach_human(layout.assemble(_boxes(spark, sf_dir)), _regions(spark, sf_dir)).select("file_id", "region_idx", "line_no")
+    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir))).select("file_id", "region_idx", "line_no")
 
 
 @query(_REGIONS + "SELECT g.file_id, g.region_idx, (SELECT min(line_no) FROM ln WHERE ln.file_id = g.file_id AND ln.baseline_y > g.ry + g.rh / 2) AS before_line FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.file_id = g.file_id)")
 def human_unmatched(spark, sf_dir):
-    return layout.insert_unmatched(_regions(spark, sf_dir), layout.assemble(_boxes(spark, sf_dir))).select("file_id", "region_idx", "before_line")
+    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir))).filter("line_no is null").select("file_id", "region_idx", "before_line")
 
 
 @query("SELECT s_suppkey, coalesce(v >= 0.8 AND d >= 0.08, false) AS human FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE (s_suppkey % 13) / 10.0 END AS v, (s_suppkey % 17) / 100.0 AS d FROM supplier)")

@@ -259,14 +259,13 @@ h AS (SELECT file_id, line_no::DOUBLE AS k, string_agg(text, ' ' ORDER BY x, kin
 
 
 def _written(spark, sf_dir):
-    placed = layout.group_into_lines(layout.split_columns(catalog._boxes(spark, sf_dir)))
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") * 11 % 400).cast("double").alias("x"))
-    return layout.lines_with_human(placed, catalog._regions(spark, sf_dir).join(x, "file_id"))
+    return layout.written(catalog._boxes(spark, sf_dir), catalog._regions(spark, sf_dir).join(x, "file_id"))
 
 
 @query(_HUMAN + "SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS line_no, text FROM h")
 def human_lines(spark, sf_dir):
-    return _written(spark, sf_dir).select("file_id", F.col("line_no").cast("long").alias("line_no"), "text")
+    return _written(spark, sf_dir).select("file_id", F.inline("lines")).select("file_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
 @query(_HUMAN + "SELECT file_id, string_agg(text, chr(10) ORDER BY k) AS text FROM h GROUP BY file_id")

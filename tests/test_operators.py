@@ -45,6 +45,29 @@ def test_markdown(spark):
     assert got == "# Tide tables\n\n\nhigh water 0\nhigh water 1\nhigh water 2\n\nsee overleaf <!-- low confidence -->\n"
 
 
+def test_layout_exchanges_once_and_mends_broken_pages(spark):
+    rows = [(f, 1, i, f"{f}{i}", 30.0 * (k % 5), 20.0 * (k // 3), 20.0, 12.0, 0.9, 420.0) for k, (f, i) in enumerate((f, i) for f in "abcd" for i in range(7))]
+    b = spark.createDataFrame(rows, "file_id string, page int, box_idx int, text string, x double, y double, w double, h double, confidence double, page_width double")
+    want = sorted(map(str, layout.assemble(b).collect()))
+    for df in (layout.assemble(b), markdown.to_markdown(layout.pages_of(b)), markdown.heading_levels(layout.pages_of(b))):
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "ObjectHashAggregate" not in plan
+    assert len(want) == 12 and markdown.to_markdown(layout.assemble(b)).count() == markdown.to_markdown(layout.pages_of(b)).count() == 4
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(str, layout.assemble(b).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_odd_boxes(spark):
+    nan, rows = float("nan"), [("a", None, 1, 5, 5, 0.5), ("b", 1, None, 5, 5, None), (None, 1, 40, 5, 5, 0.7), ("c", float("nan"), float("nan"), 5, None, float("nan"))]
+    b = spark.createDataFrame([("f", 1, i, t, *[None if v is None else float(v) for v in (x, y, w, h, c)], nan) for i, (t, x, y, w, h, c) in enumerate(rows)], "file_id string, page int, box_idx int, text string, x double, y double, w double, h double, confidence double, page_width double")
+    got = layout.assemble(b).collect()
+    assert sorted((r.text, r.n_boxes, r.min_confidence) for r in got) == [("", 1, 0.7), ("a", 1, 0.5), ("b", 1, 0.0), ("c", 1, 0.0)]
+    assert layout.group_into_lines(b).count() == 4 and layout.assemble(b.filter("false")).count() == 0
+
+
 def test_confidence_steps_over_nan(spark):
     p = boxes(spark, [("a", 0, 0, 1, 1, float("nan")), ("b", 0, 0, 1, 1, 0.9), ("c", 0, 0, 1, 1, 0.4)])
     assert confidence.page_confidence(p, review_below=0.5).first().min_confidence == 0.4
