@@ -16,6 +16,8 @@ OVERLAP, CENTRE = 0.5, 0.75
 BINS, GUTTER, MARGIN = 100, 0.04, 15
 FIRST = "_n"
 
+#: What stands for handwriting in text.
+MARK = "[handwritten]"
 REGION = pa.struct([("idx", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("h", pa.float64())])
 CELL = pa.struct([("x", pa.float64()), ("text", pa.string())])
 LINE = [("line_no", pa.int32()), ("col_no", pa.int32()), ("text", pa.string()), *[(n, pa.float64()) for n in ("baseline_y", "height", "top", "bottom")], ("n_boxes", pa.int64()), ("confidence", pa.float64()), ("min_confidence", pa.float64())]
@@ -179,7 +181,7 @@ class Pages:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lines_of_page)]), pa.int32()), pa.StructArray.from_arrays(parts, fields=fields))
 
 
-def beside(table: pa.Table, cells: bool) -> tuple[np.ndarray, pa.Array, pa.Array]:
+def beside(table: pa.Table, cells: bool = False) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
     """Of pages whose boxes (kind 0) and regions (kind 1) come as rows together: the first row, the lines and
     the regions of each."""
     first, kind = np.asarray(table[FIRST]) == 1, np.asarray(table["kind"])
@@ -197,3 +199,57 @@ def beside(table: pa.Table, cells: bool) -> tuple[np.ndarray, pa.Array, pa.Array
     marks = table.filter(pa.array(kind == 1))
     rows = pa.StructArray.from_arrays([marks[n].cast(f.type).combine_chunks() for n, f in zip(("box_idx", "x", "y", "h"), REGION, strict=True)], fields=list(REGION))
     return starts, lines, pa.ListArray.from_arrays(ends(np.bincount(page[kind == 1], minlength=len(starts))), rows)
+
+
+def written(table: pa.Table) -> tuple[np.ndarray, pa.ListArray]:
+    """Of pages as in beside(): the first row of each, and its lines with handwriting, as LINE and n_human."""
+    starts, lines, regions = beside(table, cells=True)
+    n, start, ls, rs = len(starts), np.asarray(lines.offsets), lines.values, regions.values
+    number = lambda rows, name: np.asarray(rows.field(name).cast(pa.float64()).fill_null(np.nan))
+    line_page, page = (np.repeat(np.arange(n), np.diff(np.asarray(a.offsets))) for a in (lines, regions))
+    top, bottom, baseline = (number(ls, c) for c in ("top", "bottom", "baseline_y"))
+    idx, x, y, h = (number(rs, c) for c in ("idx", "x", "y", "h"))
+    middle = y + h / 2
+    # every region with every line of its page
+    many = np.diff(start)[page]
+    r = np.repeat(np.arange(len(page)), many)
+    at = start[page][r] + np.arange(len(r)) - np.repeat(np.cumsum(many) - many, many)
+    shared = np.maximum(np.minimum((y + h)[r], bottom[at]) - np.maximum(y[r], top[at]), 0.0)
+    part = shared / np.maximum(np.minimum((bottom - top)[at], h[r]), 1.0)
+    fits = np.flatnonzero(part >= OVERLAP)
+    fits = fits[np.lexsort((at[fits], part[fits]))]
+    home, before, lower = np.full(len(page), -1), np.full(len(page), len(ls)), baseline[at] > middle[r]
+    home[r[fits]] = at[fits]  # the last of a region's counts
+    np.minimum.at(before, r[lower], at[lower])
+    alone, joined = np.flatnonzero(home < 0), np.flatnonzero(home >= 0)
+    marked, owner = np.unique(home[joined], return_inverse=True)
+    # the texts of marked lines anew, with their marks among them
+    cells = ls.field("cells")
+    ends, flat = np.asarray(cells.offsets), cells.values
+    sizes = ends[marked + 1] - ends[marked]
+    k = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    box = np.repeat(ends[marked], sizes) + k
+    where = flat.field("x").take(pa.array(box))
+    across = np.concatenate([np.where(np.asarray(where.is_null()), -np.inf, np.asarray(where.fill_null(0))), x[joined]])
+    of = np.concatenate([np.repeat(np.arange(len(marked)), sizes), owner])
+    order = np.lexsort((np.concatenate([k, idx[joined]]), np.repeat([0, 1], [len(box), len(joined)]), across, of))
+    marks = lambda count: pa.array([MARK] * count, pa.string())
+    texts = pa.concat_arrays([flat.field("text").take(pa.array(box)), marks(len(joined))]).take(pa.array(order))
+    said = np.bincount(of[order][np.asarray(texts.is_valid())], minlength=len(marked))
+    anew = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(said)]), pa.int32()), texts.drop_null()), " ")
+    text_of = np.arange(len(ls) + len(alone))
+    text_of[marked] = len(ls) + np.arange(len(marked))
+    text_of[len(ls) :] = len(ls) + len(marked)
+    # lines by their place, a region without one before the line below it
+    pages = np.concatenate([line_page, page[alone]])
+    lie = np.repeat([1, 0], [len(ls), len(alone)])
+    order = np.lexsort((np.where(lie, 0, np.concatenate([np.zeros(len(ls)), idx[alone]])), np.concatenate([np.zeros(len(ls)), middle[alone]]), lie, np.concatenate([np.arange(len(ls)), before[alone]]), pages))
+    first = np.concatenate([[0], np.cumsum(np.bincount(pages, minlength=n))])
+    null, zero = (lambda t: pa.nulls(len(alone), t)), (lambda t: pa.array(np.zeros(len(alone)), t))
+    more = {"col_no": null(pa.int32()), "top": null(pa.float64()), "bottom": null(pa.float64()), "baseline_y": pa.array(middle[alone], pa.float64(), from_pandas=True)}
+    columns = {name: pa.concat_arrays([ls.field(name), more.get(name, zero(kind))]).take(pa.array(order)) for name, kind in LINE if name not in ("line_no", "text")}
+    columns["line_no"] = pa.array(np.arange(len(order)) - first[:-1][pages[order]], pa.int32())
+    columns["text"] = pa.concat_arrays([ls.field("text"), anew, marks(1)]).take(pa.array(text_of[order]))
+    columns["n_human"] = pa.array(np.concatenate([np.bincount(home[joined], minlength=len(ls)), np.ones(len(alone), np.int64)])[order], pa.int32())
+    fields = [*LINE, ("n_human", pa.int32())]
+    return starts, pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([columns[name] for name, _ in fields], fields=[pa.field(*f) for f in fields]))

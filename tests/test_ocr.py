@@ -220,3 +220,13 @@ def test_lines_with_handwriting(spark):
     assert got == [("left [handwritten] right", 1, 106), ("[handwritten]", 1, 185), ("[handwritten]", 1, 225), ("[handwritten]", 1, 225), ("below", 0, 306), ("[handwritten]", 1, 405)]
     assert lines.filter(F.col("file_id") == "empty").first().text == "[handwritten]"
     assert "[handwritten] <!-- low confidence -->" in markdown.to_markdown(lines).filter("file_id = 'f'").first().markdown
+
+
+def test_handwriting_comes_to_its_page_by_one_exchange(spark):
+    b = spark.createDataFrame([("f", 1, 0, None, None, 10.0, 5.0, 12.0, None, None), ("f", 1, 1, "a", 50.0, 10.0, 5.0, 12.0, 0.9, None)], "file_id string, page int, box_idx int, text string, x double, y double, w double, h double, confidence double, page_width double")
+    r = spark.createDataFrame([("f", 1, 0, 20.0, 11.0, 3.0, 10.0), ("f", 1, 1, 70.0, 11.0, 3.0, 10.0), ("f", 1, 2, 9.0, float("nan"), 3.0, 10.0), ("g", 1, 0, 1.0, 1.0, 2.0, 2.0)], "file_id string, page int, region_idx int, x double, y double, w double, h double")
+    lines = layout.lines_with_human(b, r)
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((x.file_id, x.line_no, x.text, x.n_boxes, x.n_human) for x in lines.collect()) == [("f", 0, "[handwritten] a [handwritten]", 2, 2), ("f", 1, "[handwritten]", 0, 1), ("g", 0, "[handwritten]", 0, 1)]
+    assert [x.text for x in layout.scan_text(layout.written(b, r.filter("false"))).collect()] == ["a"]
+    assert layout.written(b.filter("false"), r).count() == 2
