@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +19,31 @@ from . import catalog, samples
 from .catalog import query, table
 
 
-def made(rows: DataFrame, make: Callable[[list], bytes], name: str) -> DataFrame:
-    """rows (file_id, parts) to files (file_id, filename, content)."""
+#: Bytes of files that are handed on together.
+TOGETHER = 1 << 20
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def made(rows: DataFrame, make: Callable[[Iterator], bytes], name: str) -> DataFrame:
+    """rows (file_id, parts) to files (file_id, filename, content). A part at a time is taken from its batch,
+    and files leave as they are made."""
+
+    def files(ids: list, contents: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([name] * len(ids), pa.string()), pa.array(contents, pa.binary())], names=["file_id", "filename", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"file_id": b["file_id"], "filename": name, "content": [make(list(p)) for p in b["parts"]]})
+            ids, contents, size = [], [], 0
+            for file_id, parts in zip(*b.columns, strict=True):
+                ids.append(file_id.as_py())
+                contents.append(make(part.as_py() for part in parts))
+                size += len(contents[-1])
+                if size >= TOGETHER:
+                    yield files(ids, contents)
+                    ids, contents, size = [], [], 0
+            if ids:
+                yield files(ids, contents)
 
-    return rows.select("file_id", "parts").mapInPandas(run, "file_id bigint, filename string, content binary")
+    return rows.select("file_id", "parts").mapInArrow(run, "file_id bigint, filename string, content binary")
 
 
 #: Text as files carry it in these queries: printable ASCII, so that SQL can say what comes back.
@@ -103,7 +121,7 @@ def read_epub(spark, sf_dir):
 def read_odt(spark, sf_dir):
     head = F.concat(F.lit("Item "), F.col("item_id").cast("string"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.concat(F.array(head), _parts(F.coalesce("text", F.lit("")))).alias("parts"))
-    return _text(read.read_documents(made(b, lambda p: samples.odt(p[0], p[1:]), "a.odt")))
+    return _text(read.read_documents(made(b, lambda p: samples.odt(next(p), p), "a.odt")))
 
 
 _ROWS = "WITH c AS (SELECT c_nationkey AS file_id, c_custkey, regexp_replace(c_name, '[^\\x20-\\x7E]', '?', 'g') AS n, c_mktsegment AS s FROM customer) "
@@ -116,8 +134,9 @@ def _customers(spark, sf_dir):
     return c.groupBy(F.col("c_nationkey").cast("long").alias("file_id")).agg(F.array_sort(F.collect_list(row)).alias("parts"))
 
 
-def _grid(parts) -> list[list[str]]:
-    return [["key", "name", "segment"], *[[str(p["c_custkey"]), p["n"], p["s"]] for p in parts]]
+def _grid(parts) -> Iterator[list[str]]:
+    yield ["key", "name", "segment"]
+    yield from ([str(p["c_custkey"]), p["n"], p["s"]] for p in parts)
 
 
 @query(_ROWS + "SELECT file_id::BIGINT AS file_id, 'xlsx' AS format, '## Customers' || chr(10) || chr(10) || " + _GRID + " AS markdown, 1::BIGINT AS page_count, true AS complete, true AS ok FROM c GROUP BY file_id")
@@ -181,7 +200,8 @@ def archive_check(spark, sf_dir):
     """By doc_id: too many entries, too many bytes, too many bytes under a false size, archives in archives."""
 
     def make(parts) -> bytes:
-        kind, body = int(parts[0]), parts[1].encode()
+        kind, body = parts
+        kind, body = int(kind), body.encode()
         if kind == 0:
             return samples.package({"a": "1", "b": "2", "c": "3"})
         if kind == 3:

@@ -3,6 +3,7 @@
 import bz2
 import io
 import json
+import tracemalloc
 import zipfile
 import zlib
 
@@ -65,6 +66,23 @@ def test_what_parts_hold_is_not_their_name(spark):
     assert got[1] == "xlsx"  # cut short: the package inside is all that tells
 
 
+def test_rows_of_delimited_text_arent_kept():
+    content = "\n".join(f"{k};name {k};segment" for k in range(30_000)).encode()
+    tracemalloc.start()
+    try:
+        assert office.to_markdown(content, "csv").count("\n") == 30_000
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(content)
+    finally:
+        tracemalloc.stop()
+
+
+def test_files_leave_as_they_are_made(spark):
+    rows = spark.createDataFrame([(k, ["x" * 600_000, "y"]) for k in range(4)], "file_id long, parts array<string>").coalesce(1)
+    made = reading.made(rows, lambda parts: (next(parts) + str(len(list(parts)))).encode(), "a.txt")
+    sizes = made.mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+    assert [(r.file_id, len(r.content)) for r in made.orderBy("file_id").collect()] == [(k, 600_001) for k in range(4)] and sum(r.n for r in sizes.collect()) == 4
+
+
 def test_office_structure():
     w = samples.W
     body = (
