@@ -268,12 +268,12 @@ def _regions(spark, sf_dir):
 
 @query(_REGIONS + "SELECT g.file_id, g.region_idx, t.line_no FROM g LEFT JOIN t ON g.file_id = t.file_id AND g.region_idx = t.region_idx AND t.k = 1")
 def human_attach(spark, sf_dir):
-    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir))).select("file_id", "region_idx", "line_no")
+    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir), parts=shares(table(spark, sf_dir, "lineitem")))).select("file_id", "region_idx", "line_no")
 
 
 @query(_REGIONS + "SELECT g.file_id, g.region_idx, (SELECT min(line_no) FROM ln WHERE ln.file_id = g.file_id AND ln.baseline_y > g.ry + g.rh / 2) AS before_line FROM g WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.file_id = g.file_id)")
 def human_unmatched(spark, sf_dir):
-    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir))).filter("line_no is null").select("file_id", "region_idx", "before_line")
+    return layout.homes(layout.beside(_boxes(spark, sf_dir), _regions(spark, sf_dir), parts=shares(table(spark, sf_dir, "lineitem")))).filter("line_no is null").select("file_id", "region_idx", "before_line")
 
 
 @query("SELECT s_suppkey, coalesce(v >= 0.8 AND d >= 0.08, false) AS human FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE (s_suppkey % 13) / 10.0 END AS v, (s_suppkey % 17) / 100.0 AS d FROM supplier)")

@@ -280,7 +280,7 @@ h AS (SELECT file_id, line_no::DOUBLE AS k, string_agg(text, ' ' ORDER BY x, kin
 
 def _written(spark, sf_dir):
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") * 11 % 400).cast("double").alias("x"))
-    return layout.written(catalog._boxes(spark, sf_dir), catalog._regions(spark, sf_dir).join(x, "file_id"))
+    return layout.written(catalog._boxes(spark, sf_dir), catalog._regions(spark, sf_dir).join(x, "file_id"), parts=catalog.shares(table(spark, sf_dir, "lineitem")))
 
 
 @query(_HUMAN + "SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY k) - 1 AS line_no, text FROM h")
